@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from retort import constants as K
 from retort.functions.extract import cascade, last_boxed, last_tag
-from retort.functions.text import blank_to_null, let, strip
+from retort.functions.text import blank_to_null, let, literal, strip
 
 # --- molecular formulas --------------------------------------------------------
 
@@ -116,14 +117,19 @@ def molecule_prefix(text: Column) -> Column:
     return F.regexp_extract(text, _PREFIX, 1)
 
 
-def _behind_title(text: Column, title: str, last: bool) -> Column:
+def _behind_title(text: Column, lowered: Column, title: str, last: bool) -> Column:
     """Text behind a title of any case, stripped; NULL without the title."""
-    lowered, needle = F.lower(text), title.lower()
+    needle = title.lower()
     if last:
         start = F.length(text) - F.length(F.substring_index(lowered, needle, -1)) + 1
     else:
         start = F.instr(lowered, needle) + F.lit(len(needle))
-    return F.when(F.contains(lowered, F.lit(needle)), strip(F.substr(text, start)))
+    return F.when(F.regexp_like(lowered, literal(needle)), strip(F.substr(text, start)))
+
+
+def _titled(text: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(lowered text)``; every title has a colon, so texts without one are not searched."""
+    return F.when(F.contains(text, F.lit(":")), let(F.lower(text), body))
 
 
 def product_from_text(text: Column, strict: bool = True) -> Column:
@@ -154,18 +160,17 @@ def reactants_from_text(text: Column) -> Column:
 
     def behind_multi(title: str, state: Column) -> Column:
         """One multi-product title: cut behind it, then behind the second product if named."""
-        tail = F.coalesce(_behind_title(state["text"], title, last=True), state["text"])
-        has_title = F.contains(F.lower(state["text"]), F.lit(title.lower()))
 
         def second(x: Column) -> Column:
-            behind = _behind_title(x, K.RETRO_SECOND, last=False)
-            hit = has_title & behind.isNotNull()
+            behind = _behind_title(x, F.lower(x), K.RETRO_SECOND, last=False)
+            hit = behind.isNotNull()
             return F.struct(
                 F.when(hit, strip(F.btrim(behind, F.lit("*")))).otherwise(x).alias("text"),
                 (state["found"] | hit).alias("found"),
             )
 
-        return let(tail, second)
+        tail = _behind_title(state["text"], F.lower(state["text"]), title, last=True)
+        return let(tail, lambda x: F.when(x.isNull(), state).otherwise(second(x)))
 
     def several(t: Column) -> Column:
         state = F.struct(t.alias("text"), F.lit(False).alias("found"))
@@ -174,8 +179,13 @@ def reactants_from_text(text: Column) -> Column:
         return let(state, lambda s: F.when(s["found"], s["text"]))
 
     def read(t: Column) -> Column:
-        single = F.coalesce(*[_behind_title(t, title, last=True) for title in K.RETRO_TITLES])
-        titled = F.coalesce(molecule_prefix(F.coalesce(single, several(t))), F.lit(""))
+        single = _titled(
+            t,
+            lambda low: F.coalesce(
+                *[_behind_title(t, low, title, last=True) for title in K.RETRO_TITLES], several(t)
+            ),
+        )
+        titled = F.coalesce(molecule_prefix(single), F.lit(""))
         return let(
             molecule_prefix(t),
             lambda p: F.when((p != "") & ((p == t) | (F.length(p) > 10)), p).otherwise(titled),
@@ -191,10 +201,12 @@ def molecule_from_text(text: Column) -> Column:
         return strip(F.substr(t, F.instr(t, ":") + 1))
 
     def titled(t: Column) -> Column:
-        candidates = [_behind_title(t, title, last=False) for title in K.GENERATION_TITLES]
-        candidates.append(_behind_title(t, ":", last=True))
+        def candidates(low: Column) -> Column:
+            firsts = [_behind_title(t, low, title, last=False) for title in K.GENERATION_TITLES]
+            return F.coalesce(*firsts, _behind_title(t, low, ":", last=True))
+
         return let(
-            F.coalesce(*candidates),
+            _titled(t, candidates),
             lambda x: F.coalesce(
                 blank_to_null(molecule_prefix(x)), molecule_prefix(behind_colon(x)), F.lit("")
             ),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from retort.functions.text import (
     blank_to_null,
     first_hit,
     let,
+    occurrences,
     python_float,
     strip,
     word_count,
@@ -87,14 +91,11 @@ def keyword_vote(text: Column) -> Column:
     """Majority of yes/no keywords counted as substrings; NULL on a tie."""
 
     def sign(lowered: Column) -> Column:
-        def hits(words):
-            total = F.lit(0)
-            for word in words:
-                gone = F.length(F.replace(lowered, F.lit(word), F.lit("")))
-                total = total + ((F.length(lowered) - gone) / F.lit(len(word))).cast("int")
-            return total
-
-        return F.signum(hits(K.YES_KEYWORDS) - hits(K.NO_KEYWORDS))
+        yes, no = (
+            reduce(operator.add, [occurrences(lowered, word) for word in words])
+            for words in (K.YES_KEYWORDS, K.NO_KEYWORDS)
+        )
+        return F.signum(yes - no)
 
     outcome = F.array(F.lit(False), F.lit(None).cast("boolean"), F.lit(True))
     return F.get(outcome, (let(F.lower(text), sign) + 1).cast("int"))

@@ -51,10 +51,15 @@ def lstrip(text: Column) -> Column:
     return F.ltrim(text, F.lit(SPACE_CHARS))
 
 
+def literal(needle: str) -> Column:
+    """A literal as a regular expression; Java searches it with skips (Boyer-Moore), while
+    Spark's own string search compares at every byte."""
+    return F.lit(rf"\Q{needle}\E")
+
+
 def occurrences(text: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a literal."""
-    gone = F.length(F.replace(text, F.lit(needle), F.lit("")))
-    return ((F.length(text) - gone) / F.lit(len(needle))).cast("int")
+    return F.regexp_count(text, literal(needle))
 
 
 def has_word(text: Column) -> Column:
@@ -110,7 +115,7 @@ def remove_all(text: Column, needles: tuple[str, ...]) -> Column:
     """Remove literals one after the other; an earlier removal may create a later match."""
     cleaned = text
     for needle in needles:
-        cleaned = F.replace(cleaned, F.lit(needle), F.lit(""))
+        cleaned = F.regexp_replace(cleaned, literal(needle), F.lit(""))
     lead = {needle[:1] for needle in needles}
     if len(lead) == 1 and "" not in lead:
         # texts without the shared first character are left alone after one scan

@@ -12,6 +12,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
+
+from retort.operators.records import keep_computed
 
 HASH_DIGITS = 3  # 16 ** 3 = 4096 buckets of a uniform hash
 BRACKET_VALUES = 200_000  # distinct values the last step of an order statistic may sort
@@ -71,13 +74,15 @@ def cumulative_counts(
 ) -> DataFrame:
     """Distinct values per group with ``n`` rows each and ``before`` rows of smaller value.
 
+    ``n_values`` is the number of rows with a value in the group.
+
     Equal values collapse first (map side), so a hot value is one row; the buckets are cut
     at approximate quantiles of the distinct values, which affects balance only.
     """
     keys = groups or ["_all"]
     source = df if groups else df.withColumn("_all", F.lit(0))
     counts = (
-        source.filter(F.col(value).isNotNull())
+        keep_computed(source, F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -93,13 +98,14 @@ def cumulative_counts(
         placed.groupBy(*keys, "_bucket")
         .agg(F.sum("n").alias("_n"))
         .withColumn("_offset", _before("_bucket", keys, F.col("_n")))
+        .withColumn("n_values", F.sum("_n").over(Window.partitionBy(*keys)))
         .drop("_n")
     )
     inside = _before(value, [*keys, "_bucket"], F.col("n"))
     return (
         placed.join(offsets, [*keys, "_bucket"])
         .withColumn("before", inside + F.col("_offset"))
-        .select(*groups, value, "n", "before")
+        .select(*groups, value, "n", "before", "n_values")
     )
 
 
@@ -116,11 +122,6 @@ def exact_percentiles(
     output also has ``n_values``.
     """
     ranked = cumulative_counts(df, groups, value)
-    totals = ranked.groupBy(*groups).agg(F.sum("n").alias("n_values"))
-    if groups:
-        joined = ranked.join(totals, groups)
-    else:
-        joined = ranked.withColumn("n_values", totals.scalar())
 
     def at(rank: Column) -> Column:
         inside = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
@@ -136,7 +137,7 @@ def exact_percentiles(
     if upper_median:
         picks.append(at(F.floor(F.col("n_values") / 2)).alias(upper_median))
         results.append(F.col(upper_median))
-    return joined.groupBy(*groups, "n_values").agg(*picks).select(*groups, "n_values", *results)
+    return ranked.groupBy(*groups, "n_values").agg(*picks).select(*groups, "n_values", *results)
 
 
 def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
@@ -156,13 +157,13 @@ def kth_value(df: DataFrame, column: str, k: int, descending: bool = False):
     rounds, never the result.
     """
     live = df.filter(F.col(column).isNotNull()).select(column)
-    total = live.count()
+    total = distinct = live.count()
     if not 1 <= k <= total:
         raise ValueError(f"rank {k} outside 1..{total}")
     whole, passed, size = total, 0, total
     rank = total - k + 1 if descending else k  # ascending rank inside ``live``
     spread = 2e-4
-    while True:
+    while distinct > BRACKET_VALUES:
         share = rank / size
         cuts = [max(0.0, share - spread), min(1.0, share + spread)]
         low, high = live.agg(F.percentile_approx(column, cuts, 100_000)).first()[0]
@@ -176,8 +177,6 @@ def kth_value(df: DataFrame, column: str, k: int, descending: bool = False):
             spread *= 16
             continue
         live, rank, passed, size, spread = live.filter(inside), rank - below, passed + below, held, 2e-4
-        if distinct <= BRACKET_VALUES:
-            break
     # at most about BRACKET_VALUES rows reach this window: equal values are one row each
     hit = (
         live.groupBy(column)
@@ -191,22 +190,26 @@ def kth_value(df: DataFrame, column: str, k: int, descending: bool = False):
     return hit[column], whole - upto if descending else upto - hit["count"]
 
 
-def top_k(df: DataFrame, order: list[tuple[str, bool]], k: int) -> DataFrame:
+def top_k(df: DataFrame, order: list[tuple[str, bool]], k: int, computed: bool = False) -> DataFrame:
     """The first ``k`` rows by ``order`` ((column, descending) pairs, the last one unique).
 
     The result is a filter on ``df``: the threshold is searched on the order columns
     alone, and wide rows are neither sorted nor moved. Use it where ``k`` grows with the
-    data; for a short report ``orderBy().limit()`` is right.
+    data; for a short report ``orderBy().limit()`` is right. ``computed`` says that the
+    order columns are costly to derive, which keeps the filter from deriving them again.
     """
     if k <= 0:
         return df.filter(F.lit(False))
-    tied, keep, condition, wanted = df.select(*[c for c, _ in order]), None, F.lit(True), k
+    keys = df.select(*[c for c, _ in order]).persist(StorageLevel.DISK_ONLY)
+    tied, keep, condition, wanted = keys, F.lit(False), F.lit(True), min(k, keys.count())
     for column, descending in order:
+        if not wanted:
+            break
         value, before = kth_value(tied, column, wanted, descending)
         better = F.col(column) > F.lit(value) if descending else F.col(column) < F.lit(value)
-        part = condition & better
-        keep = part if keep is None else keep | part
+        keep = keep | (condition & better)
         condition = condition & (F.col(column) == F.lit(value))
         tied = tied.filter(F.col(column) == F.lit(value))
         wanted -= before
-    return df.filter(keep | condition)
+    keys.unpersist()
+    return keep_computed(df, keep | condition) if computed else df.filter(keep | condition)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +12,24 @@ from retort import constants as K
 from retort.functions.text import occurrences, remove_all, strip
 
 
+def keep_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on costly derived columns without deriving them a second time.
+
+    Catalyst pushes a plain filter below the projection and repeats the projection's
+    expressions in it. A column it may not move (the task number) keeps the filter above.
+    """
+    marked = df.withColumn("_part", F.spark_partition_id())
+    return marked.filter((F.col("_part") >= 0) & condition).drop("_part")
+
+
 def explode_generations(df: DataFrame, values: str, *keep: str, name: str = "value") -> DataFrame:
-    """One row per entry of a map column, in key order of the record (``pos``)."""
-    return df.select(*keep, F.posexplode(values).alias("pos", "gen_key", name))
+    """One row per entry of a map column, in key order of the record (``pos``).
+
+    The outer form is used because Catalyst guards a plain explode with a filter on the
+    map, which it would push down and so derive a computed map twice.
+    """
+    rows = df.select(*keep, F.posexplode_outer(values).alias("pos", "gen_key", name))
+    return rows.filter(F.col("pos").isNotNull())
 
 
 def generation_number(key: Column) -> Column:
@@ -192,9 +210,7 @@ def marker_counts(messages: Column, markers: tuple[str, ...] = K.MARKERS_WITH_TA
     own = F.filter(messages, lambda m: m["role"] == "assistant")
 
     def found(m: Column) -> Column:
-        total = F.lit(0)
-        for marker in markers:
-            total = total + occurrences(m["content"], marker)
+        total = reduce(operator.add, [occurrences(m["content"], marker) for marker in markers])
         return F.when(F.contains(m["content"], F.lit("<")), total).otherwise(F.lit(0))
 
     return F.struct(

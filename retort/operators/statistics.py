@@ -64,11 +64,15 @@ def length_statistics(df: DataFrame, groups: list[str], value: str, threshold: i
 
 def score_summary(df: DataFrame, value: str) -> DataFrame:
     """Average, upper median (element ``n div 2``), minimum and maximum of the whole frame."""
-    median = exact_percentiles(df, [], value, {}, upper_median="median")
-    basic = df.agg(
-        F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max")
+    ranked = cumulative_counts(df, [], value)
+    middle = F.floor(F.col("n_values") / 2)
+    holds = (F.col("before") <= middle) & (middle < F.col("before") + F.col("n"))
+    return ranked.agg(
+        (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("avg"),
+        F.max(F.when(holds, F.col(value))).alias("median"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
     )
-    return basic.withColumn("median", median.select("median").scalar())
 
 
 def moments(value: Column, prefix: str) -> list[Column]:

@@ -75,7 +75,7 @@ def think_word_statistics(df: DataFrame, group: str) -> DataFrame:
 def assistant_lengths(df: DataFrame, messages: str, *keep: str) -> DataFrame:
     """One row per assistant message with its word count."""
     return (
-        df.select(*keep, F.explode(messages).alias("m"))
+        df.select(*keep, F.explode_outer(messages).alias("m"))
         .filter((F.col("m.role") == "assistant") & F.col("m.content").isNotNull())
         .select(*keep, F.col("m.content").alias("content"), word_count(F.col("m.content")).alias("n_words"))
     )
@@ -141,7 +141,7 @@ def task_moments(samples: DataFrame, task: str = "task") -> DataFrame:
 
 def exploded_tokens(df: DataFrame, *keep: str) -> DataFrame:
     zipped = F.arrays_zip(F.col("token_ranks").alias("rank"), F.col("token_probs").alias("prob"))
-    return df.select(*keep, F.inline(zipped))
+    return df.select(*keep, F.inline_outer(zipped)).filter(F.col("rank").isNotNull())
 
 
 def task_comparison(first: DataFrame, second: DataFrame, task: str = "task") -> DataFrame:

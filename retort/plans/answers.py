@@ -214,7 +214,7 @@ def strategy_counts(df: DataFrame, tasks: tuple[str, ...], groups: list[str] | N
     """How often each rule produced the answer."""
     return (
         df.filter(F.col("task").isin(*tasks))
-        .select(*(groups or []), F.explode(F.map_values(STRATEGY)).alias("strategy"))
+        .select(*(groups or []), F.explode_outer(F.map_values(STRATEGY)).alias("strategy"))
         .filter(F.col("strategy").isNotNull())
         .groupBy(*(groups or []), "strategy")
         .agg(F.count(F.lit(1)).alias("n"))

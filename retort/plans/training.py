@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retort.constants import MARKERS_KEEP_TAGS, TASK_QUOTAS
 from retort.functions.think import chemistry_think, repair_chemistry
-from retort.operators.records import prompt_text, strip_markers, to_sharegpt
+from retort.operators.records import keep_computed, prompt_text, strip_markers, to_sharegpt
 from retort.operators.sampling import aligned, pick_one, quota_sample, shuffled
 from retort.plans.answers import CORRECT
 
@@ -48,10 +48,12 @@ def candidates(df: DataFrame, think_rules: bool = True) -> DataFrame:
 
 def chosen(judged: DataFrame, seed: int = 42) -> DataFrame:
     """One candidate per record by the hash of its id; records without text or prompt leave."""
+    prompted = F.size(F.try_variant_get("prompt", "$", "array<variant>")) > 0
+    picked = judged.filter(prompted).withColumn(
+        "_pick", pick_one(F.col("candidates"), "sample_id", seed)
+    )
     return (
-        judged.withColumn("_pick", pick_one(F.col("candidates"), "sample_id", seed))
-        .filter(F.col("_pick.text") != "")
-        .filter(F.size(F.try_variant_get("prompt", "$", "array<variant>")) > 0)
+        keep_computed(picked, F.col("_pick.text") != "")
         .withColumns({"chosen_key": F.col("_pick.key"), "chosen_text": F.col("_pick.text")})
         .drop("_pick", "candidates")
     )

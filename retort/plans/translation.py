@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from retort.functions.think import translation_think
 from retort.operators.ranking import top_k
-from retort.operators.records import best_key, chat
+from retort.operators.records import best_key, chat, keep_computed
 from retort.operators.sampling import shuffled
 from retort.operators.statistics import score_summary
 
@@ -82,7 +82,7 @@ def think_checked(df: DataFrame) -> DataFrame:
 
 def valid_records(df: DataFrame) -> DataFrame:
     """Records not marked invalid; an absent mark counts as valid."""
-    return df.filter(F.coalesce(F.col("think_tag_valid"), F.lit(True)))
+    return keep_computed(df, F.coalesce(F.col("think_tag_valid"), F.lit(True)))
 
 
 def top_share(
@@ -95,9 +95,8 @@ def top_share(
     """
     valid = df if skip_validation else valid_records(df)
     valid = valid.withColumn(score, F.coalesce(F.col(score), F.lit(0.0)))
-    total, usable = df.count(), valid.count()
-    k = min(max(1, int(total * ratio)), usable)
-    return top_k(valid, [(score, True), (ordinal, False)], k)
+    k = max(1, int(df.count() * ratio))
+    return top_k(valid, [(score, True), (ordinal, False)], k, computed=True)
 
 
 def share_report(df: DataFrame, kept: DataFrame, score: str = "best_spbleu") -> DataFrame:

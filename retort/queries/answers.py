@@ -30,7 +30,7 @@ def _per_generation(df: DataFrame) -> DataFrame:
 _TIERS = duck.boolean_tiers("gtext")
 _BOOL_JUDGED = (
     views.BOOL_SQL
-    + ", t AS (SELECT *, "
+    + ", t AS MATERIALIZED (SELECT *, "
     + ", ".join(f"{sql} AS {name}" for name, sql in _TIERS.items())
     + " FROM g), "
     "j AS (SELECT *, CASE WHEN task = 'retrosynthesis' THEN NULL "
@@ -41,7 +41,7 @@ _BOOL_JUDGED = (
     "a AS (SELECT *, CASE WHEN used IS NULL OR used = 'boolean_tags' THEN stored "
     "WHEN val THEN 'Yes' WHEN NOT val THEN 'No' ELSE '' END AS answer, "
     "CASE WHEN used = 'boolean_tags' THEN NULL ELSE used END AS strategy FROM j), "
-    "r AS (SELECT *, CASE WHEN task <> 'retrosynthesis' THEN answer <> '' AND lower(answer) = lower(ground_truth) END AS correct FROM a) "
+    "r AS MATERIALIZED (SELECT *, CASE WHEN task <> 'retrosynthesis' THEN answer <> '' AND lower(answer) = lower(ground_truth) END AS correct FROM a) "
 )
 
 _REPORT = (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from retort import constants as K
 from retort.functions.extract import between_tags
 from retort.queries import duck
-from retort.queries.registry import table
+from retort.queries.registry import spread, table
 
 GENERATIONS = (1, 2, 3)
 
@@ -96,7 +96,7 @@ _BOOL_TASKS = (*K.BOOL_TASKS, "retrosynthesis")
 
 
 def bool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumns(
+    docs = spread(table(spark, sf_dir, "documents")).withColumns(
         {
             "yn": _yn(),
             "activity": F.when(F.col("doc_id") % 3 == 0, "inactive").otherwise("active"),
@@ -162,7 +162,7 @@ _NUM_TASKS = (*K.NUM_TASKS, K.CAPTION_TASK)
 
 def num_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").withColumns(
+    docs = spread(table(spark, sf_dir, "documents")).withColumns(
         {
             "n1": (i % 37 - 18).cast("string"),
             "n2": (i % 11).cast("string"),
@@ -212,7 +212,7 @@ def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, h = (i % 13 + 1).cast("string"), (i % 7 + 2).cast("string")
     formula = F.concat(F.lit("C"), c, F.lit("H"), h, F.lit("O2"))
     name = F.concat(F.lit("2-Methyl"), (i % 9).cast("string"), F.lit("ol;Ethan-"), h, F.lit("-one"))
-    docs = table(spark, sf_dir, "documents").withColumn("task", _spot(_TEXT_TASKS)).withColumns(
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("task", _spot(_TEXT_TASKS)).withColumns(
         {
             "f1": formula,
             "f2": F.concat(F.lit("H"), h, F.lit("O2 C"), c, F.lit(".")),
@@ -263,7 +263,7 @@ _CHAIN = ("CCO", "c1ccccc1", "CC(=O)O", "C[N+](C)(C)C", "[Na+].[Cl-]", "BrCCBr",
 
 
 def smiles_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumns(
+    docs = spread(table(spark, sf_dir, "documents")).withColumns(
         {
             "task": _spot(_SMILES_TASKS),
             "mol": F.concat(_spot(_CHAIN), F.lit("."), _spot(_CHAIN[:3])),
@@ -298,7 +298,7 @@ _TRANSLATION_SHAPES = {
 
 def translation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores are given for every second record: a function of the text length."""
-    docs = table(spark, sf_dir, "documents").withColumn(
+    docs = spread(table(spark, sf_dir, "documents")).withColumn(
         "answer", F.replace(F.lower("text"), F.lit("\n"), F.lit(" "))
     )
     base = _records(docs, _TRANSLATION_SHAPES, ("", "")).drop("extracted_core_answer")
@@ -333,7 +333,7 @@ def token_records(spark: SparkSession, sf_dir: str, model: str = "m1") -> DataFr
     prefix = F.when(
         F.col("doc_id") % 2 == 0, F.array(*[F.lit(t) for t in K.EMPTY_THINK_TOKENS])
     ).otherwise(F.array().cast("array<string>"))
-    docs = table(spark, sf_dir, "documents").withColumn("token_strs", F.concat(prefix, words(F.col("text"))))
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("token_strs", F.concat(prefix, words(F.col("text"))))
     ranks = F.transform(
         "token_strs", lambda w, i: (F.length(w) * factor + i * 7 + F.col("doc_id")) % span + 1
     )
