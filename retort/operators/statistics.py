@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retort.constants import RANK_BIN_EDGES, RANK_BIN_LABELS, RANK_THRESHOLDS
+from retort.functions.text import python_float, strip
 from retort.operators.ranking import average_ranks, cumulative_counts, exact_percentiles
 
 
@@ -125,9 +126,10 @@ def error_summary(df: DataFrame, predicted: str, truth: str, multiplier: float =
     """Quartiles of |error| over everything and the share beyond q3 + 1.5 IQR."""
     errors = df.select(F.abs(F.col(predicted) - F.col(truth)).alias("abs_error")).dropna()
     bounds = _error_bounds(errors, [], multiplier)
-    beyond = F.count_if(F.col("abs_error") > bounds.select("bound").scalar())
+    beyond = F.count_if(F.col("abs_error") > F.col("_bound"))
     return (
-        errors.agg(
+        errors.withColumn("_bound", bounds.select("bound").scalar())
+        .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("abs_error").alias("min"),
             F.max("abs_error").alias("max"),
@@ -201,7 +203,9 @@ def equal_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
 def rank_cdf_curve(tokens: DataFrame, groups: list[str], points: int = 500) -> DataFrame:
     """Share of tokens at or below log-spaced ranks up to the 99.5th percentile (100 at least)."""
-    ranked = cumulative_counts(tokens, groups, "rank")
+    if not groups:
+        return rank_cdf_curve(tokens.withColumn("_all", F.lit(0)), ["_all"], points).drop("_all")
+    ranked = cumulative_counts(tokens, groups, "rank").drop("n_values")
     top = exact_percentiles(tokens, groups, "rank", {"_p": 0.995}).withColumn(
         "_top", F.greatest(F.floor("_p"), F.lit(100)) + 1
     )
@@ -224,8 +228,6 @@ def rank_cdf_curve(tokens: DataFrame, groups: list[str], points: int = 500) -> D
         .groupBy(*groups, F.least(first, F.lit(points - 1)).cast("int").alias("point"))
         .agg(F.sum("n").alias("_n"))
     )
-    from pyspark.sql import Window
-
     upto = Window.partitionBy(*groups).orderBy("point").rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(placed, [*groups, "point"], "left").select(
         *groups,
@@ -282,8 +284,6 @@ def subset_mean(scores: DataFrame, wanted: tuple[str, ...], key: str, score: str
 
     ``score`` is text; blank and non-numeric cells are reported, not averaged.
     """
-    from retort.functions.text import python_float, strip
-
     rows = scores.select(strip(F.col(key)).alias("_k"), python_float(F.col(score)).alias("_v"))
     inside = rows.filter(F.col("_k").isin(*wanted))
     seen = F.collect_set("_k")  # at most len(wanted) keys
