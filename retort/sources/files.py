@@ -38,15 +38,14 @@ def read_jsonl_lenient(
     spark: SparkSession, paths: str | list[str], ddl: str, recursive: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(good records, bad lines): bad lines are set apart instead of failing."""
-    rows = (
-        spark.read.schema(f"{ddl}, {CORRUPT} STRING")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("recursiveFileLookup", recursive)
-        .json(paths)
+    lines = read_lines(spark, paths, recursive)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = lines.select(F.from_json("value", f"{ddl}, {CORRUPT} STRING", options).alias("r"))
+    bad = F.col(f"r.{CORRUPT}").isNotNull()
+    return (
+        keep_computed(rows, ~bad).select("r.*").drop(CORRUPT),
+        keep_computed(rows, bad).select(f"r.{CORRUPT}"),
     )
-    bad = F.col(CORRUPT).isNotNull()
-    return keep_computed(rows, ~bad).drop(CORRUPT), keep_computed(rows, bad).select(CORRUPT)
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False, pattern: str | None = None) -> DataFrame:
