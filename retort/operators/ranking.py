@@ -69,18 +69,28 @@ def sample_per_group(
     )
 
 
-def cumulative_counts(
-    df: DataFrame, groups: list[str], value: str, buckets: int = 256
-) -> DataFrame:
-    """Distinct values per group with ``n`` rows each and ``before`` rows of smaller value.
+def _bucketed(df: DataFrame, value: str, bounds: str, buckets: int) -> DataFrame:
+    """Adds ``_bucket``, the number of sorted ``bounds`` below the value, by bisection.
+
+    One projection per halving keeps the search in generated code.
+    """
+    df, step = df.withColumn("_bucket", F.lit(0)), 1 << (buckets - 1).bit_length()
+    while step:
+        probe = F.get(bounds, F.col("_bucket") + (step - 1))
+        df = df.withColumn("_bucket", F.col("_bucket") + F.when(probe < F.col(value), step).otherwise(0))
+        step //= 2
+    return df
+
 
-    ``n_values`` is the number of rows with a value in the group.
+def cumulative_counts(df: DataFrame, groups: list[str], value: str, buckets: int = 256) -> DataFrame:
+    """Distinct values per group with ``n`` rows each and ``before`` rows of smaller value.
 
-    Equal values collapse first (map side), so a hot value is one row; the buckets are cut
-    at approximate quantiles of the distinct values, which affects balance only.
+    ``n_values`` is the number of rows with a value in the group. Equal values collapse first
+    (map side), so a hot value is one row; the buckets are cut at approximate quantiles of
+    the distinct values, which affects balance only.
     """
-    keys = groups or ["_all"]
-    source = df if groups else df.withColumn("_all", F.lit(0))
+    keys = groups or ["_every"]
+    source = df if groups else df.withColumn("_every", F.lit(0))
     counts = (
         keep_computed(source, F.col(value).isNotNull())
         .groupBy(*keys, value)
@@ -88,25 +98,46 @@ def cumulative_counts(
     )
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, cuts, 10_000)).alias("_bounds")
-    )
-    placed = counts.join(bounds if groups else F.broadcast(bounds), keys).withColumn(
-        "_bucket",
-        F.size(F.filter("_bounds", lambda b: b < F.col(value))),
+        F.array_distinct(F.percentile_approx(value, cuts, 10_000)).alias("_bounds"),
+        F.sum("n").alias("n_values"),
     )
+    placed = _bucketed(
+        counts.join(bounds if groups else F.broadcast(bounds), keys), value, "_bounds", buckets
+    ).drop("_bounds")
     offsets = (
         placed.groupBy(*keys, "_bucket")
         .agg(F.sum("n").alias("_n"))
         .withColumn("_offset", _before("_bucket", keys, F.col("_n")))
-        .withColumn("n_values", F.sum("_n").over(Window.partitionBy(*keys)))
         .drop("_n")
     )
     inside = _before(value, [*keys, "_bucket"], F.col("n"))
     return (
         placed.join(offsets, [*keys, "_bucket"])
         .withColumn("before", inside + F.col("_offset"))
-        .select(*groups, value, "n", "before", "n_values")
+        .drop("_every", "_bucket", "_offset")
+    )
+
+
+def bounded_counts(
+    df: DataFrame, groups: list[str], value: str, extra: tuple[Column, ...] = ()
+) -> DataFrame:
+    """``cumulative_counts`` for values of a bounded domain, in one pass over ``df``.
+
+    For whole numbers such as lengths (bounded by the longest text) and token ranks (bounded
+    by the vocabulary): after equal values collapse, a group has at most as many rows as the
+    domain has values, so the group can be one window. ``extra`` aggregates go beside ``n``.
+    """
+    counts = (
+        keep_computed(df, F.col(value).isNotNull())
+        .groupBy(*groups, value)
+        .agg(F.count(F.lit(1)).alias("n"), *extra)
     )
+    by = [F.col(g) for g in groups] or [F.lit(0)]
+    window = Window.partitionBy(*by)
+    running = window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn(
+        "before", F.coalesce(F.sum("n").over(running), F.lit(0).cast("bigint"))
+    ).withColumn("n_values", F.sum("n").over(window))
 
 
 def exact_percentiles(
@@ -122,22 +153,31 @@ def exact_percentiles(
     output also has ``n_values``.
     """
     ranked = cumulative_counts(df, groups, value)
+    picks, results = percentile_columns(value, fractions)
+    if upper_median:
+        picks.append(value_at(value, F.floor(F.col("n_values") / 2)).alias(upper_median))
+        results.append(F.col(upper_median))
+    return ranked.groupBy(*groups, "n_values").agg(*picks).select(*groups, "n_values", *results)
 
-    def at(rank: Column) -> Column:
-        inside = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
-        return F.max(F.when(inside, F.col(value)))
 
+def value_at(value: str, rank: Column) -> Column:
+    """Aggregate over ``cumulative_counts``: the value at a 0-based rank."""
+    inside = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+    return F.max(F.when(inside, F.col(value)))
+
+
+def percentile_columns(value: str, fractions: dict[str, float]) -> tuple[list[Column], list[Column]]:
+    """(aggregates, results) of interpolated percentiles over ``cumulative_counts``."""
     picks, results = [], []
     for name, fraction in fractions.items():
         spot = F.lit(fraction) * (F.col("n_values") - 1)
-        picks += [at(F.floor(spot)).alias(f"_{name}_lo"), at(F.ceil(spot)).alias(f"_{name}_hi")]
-        share = spot - F.floor(spot)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        results.append((lo + (hi - lo) * share).cast("double").alias(name))
-    if upper_median:
-        picks.append(at(F.floor(F.col("n_values") / 2)).alias(upper_median))
-        results.append(F.col(upper_median))
-    return ranked.groupBy(*groups, "n_values").agg(*picks).select(*groups, "n_values", *results)
+        picks += [
+            value_at(value, F.floor(spot)).alias(f"_{name}_lo"),
+            value_at(value, F.ceil(spot)).alias(f"_{name}_hi"),
+        ]
+        results.append((lo + (hi - lo) * (spot - F.floor(spot))).cast("double").alias(name))
+    return picks, results
 
 
 def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:

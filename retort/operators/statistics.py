@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from retort.constants import RANK_BIN_EDGES, RANK_BIN_LABELS, RANK_THRESHOLDS
 from retort.functions.text import python_float, strip
-from retort.operators.ranking import average_ranks, cumulative_counts, exact_percentiles
+from retort.operators.ranking import (
+    average_ranks,
+    bounded_counts,
+    cumulative_counts,
+    exact_percentiles,
+    percentile_columns,
+    value_at,
+)
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -46,31 +53,46 @@ def score_distribution(df: DataFrame, groups: list[str], value: str) -> DataFram
 
 
 def length_statistics(df: DataFrame, groups: list[str], value: str, threshold: int) -> DataFrame:
-    """Count, total, mean, sample deviation (0 for one value), median, extremes, over-long."""
-    over = F.count_if(F.col(value) > threshold)
-    return _with_percentiles(
-        df,
-        groups,
-        value,
-        {"median": 0.5},
-        F.sum(value).alias("total"),
-        F.avg(value).alias("mean"),
-        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std_samp"),
+    """Count, total, mean, sample deviation (0 for one value), median, extremes, over-long.
+
+    ``value`` is a whole number, so its sums are exact and everything comes from the counts
+    of the distinct lengths: the texts are measured once.
+    """
+    v, n = F.col(value).cast("decimal(19,0)"), F.col("n").cast("decimal(19,0)")
+    ranked = bounded_counts(df, groups, value)
+    picks, results = percentile_columns(value, {"median": 0.5})
+    sums = ranked.groupBy(*groups, "n_values").agg(
+        F.sum(v * n).alias("_s1"),
+        F.sum((v * v * n).cast("decimal(38,0)")).alias("_s2"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-        over.alias("n_over"),
-        percent(over, F.count(value)).alias("over_percent"),
+        F.sum(F.when(F.col(value) > threshold, F.col("n")).otherwise(0)).alias("n_over"),
+        *picks,
+    )
+    size, s1 = F.col("n_values"), F.col("_s1").cast("double")
+    # n * s2 - s1 * s1 is the exact whole number n * (n - 1) * variance
+    spread = (F.col("_s2") * size - F.col("_s1") * F.col("_s1")).cast("double")
+    variance = spread / (size * F.nullif(size - 1, F.lit(0)))
+    return sums.select(
+        *groups,
+        size.alias("n"),
+        F.col("_s1").cast("bigint").alias("total"),
+        (s1 / size).alias("mean"),
+        F.coalesce(F.sqrt(variance), F.lit(0.0)).alias("std_samp"),
+        "min",
+        "max",
+        "n_over",
+        percent(F.col("n_over"), size).alias("over_percent"),
+        *results,
     )
 
 
 def score_summary(df: DataFrame, value: str) -> DataFrame:
     """Average, upper median (element ``n div 2``), minimum and maximum of the whole frame."""
     ranked = cumulative_counts(df, [], value)
-    middle = F.floor(F.col("n_values") / 2)
-    holds = (F.col("before") <= middle) & (middle < F.col("before") + F.col("n"))
     return ranked.agg(
         (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("avg"),
-        F.max(F.when(holds, F.col(value))).alias("median"),
+        value_at(value, F.floor(F.col("n_values") / 2)).alias("median"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
@@ -119,7 +141,8 @@ def iqr_rmse(
         .agg(F.sqrt(F.avg(F.when(F.col("abs_error") <= F.col("bound"), F.pow("abs_error", F.lit(2))))).alias("rmse"))
         .withColumnRenamed("n_values", "n")
     )
-    return per_group.withColumn("mean_rmse", per_group.agg(F.avg("rmse")).scalar())
+    # one row per generation is left
+    return per_group.withColumn("mean_rmse", F.avg("rmse").over(Window.partitionBy(F.lit(0))))
 
 
 def error_summary(df: DataFrame, predicted: str, truth: str, multiplier: float = 1.5) -> DataFrame:
@@ -142,17 +165,24 @@ def error_summary(df: DataFrame, predicted: str, truth: str, multiplier: float =
 
 def rank_statistics(tokens: DataFrame, groups: list[str]) -> DataFrame:
     """Over exploded tokens (``rank``, ``prob``): means, percentiles and the rank CDF."""
-    cdf = [
-        F.avg((F.col("rank") <= k).cast("double")).alias(f"cdf_{k}") for k in RANK_THRESHOLDS
+    ranked = bounded_counts(tokens, groups, "rank", (F.sum("prob").alias("_prob"),))
+    picks, results = percentile_columns("rank", {"median_rank": 0.5, "p90_rank": 0.9, "p99_rank": 0.99})
+    size = F.col("n_values")
+    upto = [
+        F.sum(F.when(F.col("rank") <= k, F.col("n")).otherwise(0)).alias(f"_c{k}")
+        for k in RANK_THRESHOLDS
     ]
-    return _with_percentiles(
-        tokens,
-        groups,
-        "rank",
-        {"median_rank": 0.5, "p90_rank": 0.9, "p99_rank": 0.99},
-        F.avg("rank").alias("mean_rank"),
-        F.avg("prob").alias("mean_prob"),
-        *cdf,
+    return (
+        ranked.groupBy(*groups, "n_values")
+        .agg(F.sum(F.col("rank") * F.col("n")).alias("_r"), F.sum("_prob").alias("_p"), *upto, *picks)
+        .select(
+            *groups,
+            size.alias("n"),
+            (F.col("_r") / size).alias("mean_rank"),
+            (F.col("_p") / size).alias("mean_prob"),
+            *[(F.col(f"_c{k}") / size).alias(f"cdf_{k}") for k in RANK_THRESHOLDS],
+            *results,
+        )
     )
 
 
@@ -205,9 +235,13 @@ def rank_cdf_curve(tokens: DataFrame, groups: list[str], points: int = 500) -> D
     """Share of tokens at or below log-spaced ranks up to the 99.5th percentile (100 at least)."""
     if not groups:
         return rank_cdf_curve(tokens.withColumn("_all", F.lit(0)), ["_all"], points).drop("_all")
-    ranked = cumulative_counts(tokens, groups, "rank").drop("n_values")
-    top = exact_percentiles(tokens, groups, "rank", {"_p": 0.995}).withColumn(
-        "_top", F.greatest(F.floor("_p"), F.lit(100)) + 1
+    ranked = bounded_counts(tokens, groups, "rank")
+    picks, results = percentile_columns("rank", {"_p": 0.995})
+    top = (
+        ranked.groupBy(*groups, "n_values")
+        .agg(*picks)
+        .select(*groups, "n_values", *results)
+        .withColumn("_top", F.greatest(F.floor("_p"), F.lit(100)) + 1)
     )
     grid = top.select(
         *groups,
@@ -223,7 +257,8 @@ def rank_cdf_curve(tokens: DataFrame, groups: list[str], points: int = 500) -> D
     step = F.log(F.col("_top").cast("double")) / F.lit(float(points - 1))
     first = F.greatest(F.ceil(F.log(F.col("rank").cast("double")) / step - 1e-9), F.lit(0))
     placed = (
-        ranked.join(top, groups)
+        ranked.drop("n_values")
+        .join(top, groups)
         .filter(F.col("rank") <= F.col("_top"))
         .groupBy(*groups, F.least(first, F.lit(points - 1)).cast("int").alias("point"))
         .agg(F.sum("n").alias("_n"))

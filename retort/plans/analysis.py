@@ -9,7 +9,7 @@ from retort.constants import EMPTY_THINK_TOKENS
 from retort.functions.text import let, strip, word_count
 from retort.functions.think import think_content, think_flags
 from retort.operators.joins import matched
-from retort.operators.records import explode_generations
+from retort.operators.records import explode_generations, keep_computed
 from retort.operators.statistics import length_statistics, moments, percent
 
 FLAGS = ("has_close", "one_close", "has_open", "one_open", "valid_pair")
@@ -165,13 +165,11 @@ def paradox_examples(first: DataFrame, second: DataFrame, ordinal: str, n: int =
     pairs = matched(first, second, "sample_id", ordinal)
     ratio = F.col("avg_rank_2") / F.col("avg_rank")
     gain = F.col("avg_prob_2") - F.col("avg_prob")
-    return (
-        pairs.filter(F.col("avg_rank") >= 1e-6)
-        .withColumns({"rank_ratio": ratio, "prob_diff": gain})
-        .filter((F.col("prob_diff") > 0) & (F.col("rank_ratio") > 2))
-        .orderBy(F.desc("rank_ratio"), ordinal)
-        .limit(n)
+    scored = pairs.withColumns(
+        {"rank_ratio": F.when(F.col("avg_rank") >= 1e-6, ratio), "prob_diff": gain}
     )
+    odd = (F.col("prob_diff") > 0) & (F.col("rank_ratio") > 2)
+    return keep_computed(scored, odd).orderBy(F.desc("rank_ratio"), ordinal).limit(n)
 
 
 def high_rank_tokens(strs: Column, ranks: Column, probs: Column, above: int = 50, n: int = 8) -> Column:

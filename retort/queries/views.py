@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from retort import constants as K
 from retort.functions.extract import between_tags
+from retort.functions.text import words
+from retort.operators.records import keep_computed
 from retort.queries import duck
 from retort.queries.registry import spread, table
 
@@ -327,8 +329,6 @@ MODELS = {"m1": (3, 211), "m2": (5, 1709)}
 
 def token_records(spark: SparkSession, sf_dir: str, model: str = "m1") -> DataFrame:
     """Words of each document as tokens; rank and probability derive from word and place."""
-    from retort.functions.text import words
-
     factor, span = MODELS[model]
     prefix = F.when(
         F.col("doc_id") % 2 == 0, F.array(*[F.lit(t) for t in K.EMPTY_THINK_TOKENS])
@@ -337,18 +337,15 @@ def token_records(spark: SparkSession, sf_dir: str, model: str = "m1") -> DataFr
     ranks = F.transform(
         "token_strs", lambda w, i: (F.length(w) * factor + i * 7 + F.col("doc_id")) % span + 1
     )
-    return (
-        docs.withColumn("token_ranks", ranks)
-        .withColumns(
-            {
-                "sample_id": F.concat(F.lit("s"), "doc_id"),
-                "task": F.col("source"),
-                "token_probs": F.transform("token_ranks", lambda r: F.lit(1.0) / (r % 13 + 1)),
-                "token_top1_hits": F.transform("token_ranks", lambda r: (r == 1).cast("double")),
-            }
-        )
-        .filter(F.size("token_strs") > 0)
+    tokens = docs.withColumn("token_ranks", ranks).withColumns(
+        {
+            "sample_id": F.concat(F.lit("s"), "doc_id"),
+            "task": F.col("source"),
+            "token_probs": F.transform("token_ranks", lambda r: F.lit(1.0) / (r % 13 + 1)),
+            "token_top1_hits": F.transform("token_ranks", lambda r: (r == 1).cast("double")),
+        }
     )
+    return keep_computed(tokens, F.size("token_strs") > 0)
 
 
 def tokens_sql(model: str = "m1", name: str = "t") -> str:

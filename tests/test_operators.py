@@ -65,6 +65,16 @@ def test_cumulative_counts_and_percentiles(skewed):
         assert r["upper"] == ordered[len(ordered) // 2]
 
 
+def test_bounded_counts_agree(skewed):
+    _, df = skewed
+    whole = df.withColumn("v", F.round("v").cast("int"))
+    one, two = (
+        sorted(tuple(r) for r in f(whole, ["g"], "v").select("g", "v", "n", "before", "n_values").collect())
+        for f in (ranking.cumulative_counts, ranking.bounded_counts)
+    )
+    assert one == two
+
+
 def test_average_ranks(skewed):
     rows, df = skewed
     values = [r[2] for r in rows]
