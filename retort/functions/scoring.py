@@ -152,32 +152,45 @@ def token_counts(tokenizer_file: str) -> Callable[[Column], Column]:
     return run
 
 
-def molecule_ids() -> Callable[[Column], Column]:
-    """Sorted distinct InChI of the fragments of a molecule string; NULL if unreadable.
+def _identifiers(text: str) -> list[str] | None:
+    """Sorted distinct InChI of the fragments, atom maps cleared; None if one is unreadable."""
+    from rdkit import Chem
 
-    Needs RDKit on the executors.
-    """
+    molecules = [Chem.MolFromSmiles(part) for part in text.replace(";", ".").split(".")]
+    if any(m is None or m.GetNumAtoms() == 0 for m in molecules):
+        return None
+    for molecule in molecules:
+        for atom in molecule.GetAtoms():
+            atom.SetAtomMapNum(0)
+    return sorted({Chem.MolToInchi(m) for m in molecules})
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from rdkit import Chem
 
-        def ids(text):
-            molecules = [Chem.MolFromSmiles(p) for p in (text or "").replace(";", ".").split(".")]
-            if any(m is None or m.GetNumAtoms() == 0 for m in molecules):
-                return None
-            for molecule in molecules:
-                for atom in molecule.GetAtoms():
-                    atom.SetAtomMapNum(0)
-            return sorted({Chem.MolToInchi(m) for m in molecules})
+def molecule_ids() -> Callable[[Column], Column]:
+    """InChI sets of a molecule-string column. Needs RDKit on the executors."""
 
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(ids)
+            yield texts.map(lambda t: _identifiers(t) if t else None)
 
     return run
 
 
-def molecules_equal(answer: Column, truth: Column) -> Column:
-    """Chemical equality by InChI sets; needs RDKit on the executors."""
-    ids = molecule_ids()
-    return F.coalesce((answer != "") & (ids(answer) == ids(truth)), F.lit(False))
+def molecule_matches() -> Callable[[Column, Column], Column]:
+    """1.0 where a candidate is chemically the reference, for ``answers.mark_molecules``.
+
+    Equal strings match at once; others by InChI sets. Needs RDKit on the executors.
+    """
+
+    def make() -> Score:
+        def score(candidate: str, reference: str) -> float:
+            if not candidate:
+                return 0.0
+            if candidate == reference:
+                return 1.0
+            ids = _identifiers(candidate)
+            return float(ids is not None and ids == _identifiers(reference))
+
+        return score
+
+    return scorer(make)

@@ -82,12 +82,15 @@ def _bucketed(df: DataFrame, value: str, bounds: str, buckets: int) -> DataFrame
     return df
 
 
-def cumulative_counts(df: DataFrame, groups: list[str], value: str, buckets: int = 256) -> DataFrame:
+def cumulative_counts(df: DataFrame, groups: list[str], value: str, buckets: int = 512) -> DataFrame:
     """Distinct values per group with ``n`` rows each and ``before`` rows of smaller value.
 
     ``n_values`` is the number of rows with a value in the group. Equal values collapse first
-    (map side), so a hot value is one row; the buckets are cut at approximate quantiles of
-    the distinct values, which affects balance only.
+    (map side), so a hot value is one row.
+
+    The buckets are cut at a sample of the distinct values, which affects balance only. The
+    sample takes one value per hash class, so it is the same each time it is computed; a
+    quantile sketch is not, and the two uses of the cuts below would disagree.
     """
     keys = groups or ["_every"]
     source = df if groups else df.withColumn("_every", F.lit(0))
@@ -96,10 +99,12 @@ def cumulative_counts(df: DataFrame, groups: list[str], value: str, buckets: int
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, cuts, 10_000)).alias("_bounds"),
-        F.sum("n").alias("n_values"),
+    mark = F.xxhash64(F.col(value))
+    sample = counts.groupBy(*keys, F.pmod(mark, F.lit(buckets)).alias("_class")).agg(
+        F.min_by(F.col(value), mark).alias("_cut"), F.sum("n").alias("_n")
+    )
+    bounds = sample.groupBy(*keys).agg(
+        F.array_sort(F.collect_set("_cut")).alias("_bounds"), F.sum("_n").alias("n_values")
     )
     placed = _bucketed(
         counts.join(bounds if groups else F.broadcast(bounds), keys), value, "_bounds", buckets
@@ -181,11 +186,19 @@ def percentile_columns(value: str, fractions: dict[str, float]) -> tuple[list[Co
 
 
 def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
-    """Adds the 1-based rank over the whole frame, ties sharing their mean rank."""
+    """Adds the 1-based rank over the whole frame, ties sharing their mean rank.
+
+    Values with at least a thousandth of the rows are at most a thousand: they are joined
+    by broadcast, so that no hot value gathers its rows in one task.
+    """
     ranked = cumulative_counts(df, [], value).select(
-        value, (F.col("before") + (F.col("n") + 1) / 2).alias(rank)
+        value,
+        (F.col("before") + (F.col("n") + 1) / 2).alias(rank),
+        (F.col("n") * 1000 >= F.col("n_values")).alias("_hot"),
     )
-    return df.join(ranked, value)
+    hot = F.broadcast(keep_computed(ranked, F.col("_hot")).drop("_hot"))
+    rest = keep_computed(ranked, ~F.col("_hot")).drop("_hot")
+    return df.join(hot, value).unionByName(df.join(hot, value, "left_anti").join(rest, value))
 
 
 def kth_value(df: DataFrame, column: str, k: int, descending: bool = False):

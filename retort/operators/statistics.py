@@ -149,18 +149,16 @@ def error_summary(df: DataFrame, predicted: str, truth: str, multiplier: float =
     """Quartiles of |error| over everything and the share beyond q3 + 1.5 IQR."""
     errors = df.select(F.abs(F.col(predicted) - F.col(truth)).alias("abs_error")).dropna()
     bounds = _error_bounds(errors, [], multiplier)
-    beyond = F.count_if(F.col("abs_error") > F.col("_bound"))
-    return (
-        errors.withColumn("_bound", bounds.select("bound").scalar())
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("abs_error").alias("min"),
-            F.max("abs_error").alias("max"),
-            beyond.alias("n_beyond"),
-        )
-        .withColumns({c: bounds.select(c).scalar() for c in ("q1", "q2", "q3", "bound")})
-        .withColumn("beyond_percent", percent(F.col("n_beyond"), F.col("n")))
+    cut = bounds.select(F.struct("q1", "q2", "q3", "bound")).scalar()
+    summary = errors.withColumn("_cut", cut).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("abs_error").alias("min"),
+        F.max("abs_error").alias("max"),
+        F.count_if(F.col("abs_error") > F.col("_cut.bound")).alias("n_beyond"),
+        F.first("_cut").alias("_cut"),
     )
+    share = percent(F.col("n_beyond"), F.col("n")).alias("beyond_percent")
+    return summary.select("n", "min", "max", "n_beyond", "_cut.*", share)
 
 
 def rank_statistics(tokens: DataFrame, groups: list[str]) -> DataFrame:
