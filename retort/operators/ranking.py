@@ -185,20 +185,33 @@ def percentile_columns(value: str, fractions: dict[str, float]) -> tuple[list[Co
     return picks, results
 
 
-def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
-    """Adds the 1-based rank over the whole frame, ties sharing their mean rank.
-
-    Values with at least a thousandth of the rows are at most a thousand: they are joined
-    by broadcast, so that no hot value gathers its rows in one task.
+def average_ranks(df: DataFrame, value: str, rank: str, source: DataFrame | None = None) -> DataFrame:
+    """Adds the 1-based rank over the whole frame, ties sharing their mean rank; rows without
+    a value leave.
+
+    Values with at least a thousandth of the rows are at most a thousand: their ranks are
+    fetched and joined by broadcast, and their rows are salted for the join with the other
+    ranks, in which they have no partner, so that no hot value gathers its rows in one task.
+    ``source`` is a cheaper frame with the same values to count, where ``df`` is costly.
     """
-    ranked = cumulative_counts(df, [], value).select(
+    ranked = cumulative_counts(df if source is None else source, [], value).select(
         value,
         (F.col("before") + (F.col("n") + 1) / 2).alias(rank),
         (F.col("n") * 1000 >= F.col("n_values")).alias("_hot"),
     )
-    hot = F.broadcast(keep_computed(ranked, F.col("_hot")).drop("_hot"))
-    rest = keep_computed(ranked, ~F.col("_hot")).drop("_hot")
-    return df.join(hot, value).unionByName(df.join(hot, value, "left_anti").join(rest, value))
+    hot = keep_computed(ranked, F.col("_hot")).select(value, F.col(rank).alias("_hot_rank"))
+    fetched = hot.collect()
+    if not fetched:
+        return df.join(ranked.drop("_hot"), value).select(*df.columns, rank)
+    table = df.sparkSession.createDataFrame(fetched, hot.schema)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(1024)) + 1
+    marked = df.join(F.broadcast(table), value, "left").withColumn(
+        "_salt", F.when(F.col("_hot_rank").isNotNull(), salt).otherwise(F.lit(0))
+    )
+    others = ranked.withColumn("_salt", F.lit(0).cast("bigint")).drop("_hot")
+    both = marked.join(others, [value, "_salt"], "left")
+    ranks = both.withColumn(rank, F.coalesce("_hot_rank", rank))
+    return keep_computed(ranks, F.col(rank).isNotNull()).select(*df.columns, rank)
 
 
 def kth_value(df: DataFrame, column: str, k: int, descending: bool = False):

@@ -299,7 +299,7 @@ def gaussian_density(
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with tied ranks shared: one row of rho and the number of pairs."""
     pairs = df.select(x, y).dropna()
-    ranked = average_ranks(average_ranks(pairs, x, "_rx"), y, "_ry")
+    ranked = average_ranks(average_ranks(pairs, x, "_rx"), y, "_ry", source=pairs)
     return ranked.agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
