@@ -94,5 +94,6 @@ def merged_modes(records: DataFrame, seed: int = 42) -> DataFrame:
     ``records`` has ``task``, ``mode``, ``sample_id`` and ``messages``; write the result with
     ``partitionBy("mode")``.
     """
-    clean = records.withColumn("messages", strip_markers(F.col("messages"), MARKERS_KEEP_TAGS))
-    return shuffled(aligned(clean, "sample_id", seed), "sample_id", seed)
+    ordered = shuffled(aligned(records, "sample_id", seed), "sample_id", seed)
+    # behind the sort, whose range sampling would otherwise strip every text twice
+    return ordered.withColumn("messages", strip_markers(F.col("messages"), MARKERS_KEEP_TAGS))

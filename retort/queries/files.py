@@ -30,17 +30,21 @@ def jsonl_round_trip(spark, sf_dir):
     return back.select("sample_id", "task", F.md5("input").alias("input_md5"), "output")
 
 
-@query("SELECT doc_id, true AS numbered FROM documents WHERE doc_id % 7 = 3")
+@query("SELECT doc_id, doc_id % 7 = 3 AS broken, true AS numbered FROM documents")
 def jsonl_bad_lines(spark, sf_dir):
-    """Every seventh line is broken; the reader finds them with their place in the file."""
+    """Every seventh line is broken; all lines come back with their place and a verdict."""
     path = _fresh(spark, "lines")
     docs = table(spark, sf_dir, "documents")
     good = sinks.json_line(docs)
     line = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("{"), good)).otherwise(good)
     sinks.write_lines(docs.select(line.alias("value")), path)
-    bad = files.bad_lines(spark, path)
+    lines = files.parsed_lines(files.with_line_numbers(files.read_lines(spark, path)))
     number = F.regexp_extract("value", r'"doc_id":([0-9]+)', 1).cast("bigint")
-    return bad.select(number.alias("doc_id"), (F.col("line_number") >= 1).alias("numbered"))
+    return lines.select(
+        number.alias("doc_id"),
+        F.col("record").isNull().alias("broken"),
+        (F.col("line_number") >= 1).alias("numbered"),
+    )
 
 
 @query(views.TRANSLATION_SQL + f"SELECT sample_id, md5({'string_agg(gtext, chr(10) ORDER BY gen)'}) AS answers_md5 FROM g GROUP BY sample_id")
