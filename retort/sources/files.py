@@ -64,11 +64,13 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
 def with_line_numbers(rows: DataFrame) -> DataFrame:
     """Adds the 1-based number of each row in its file.
 
-    Rows of a block are consecutive, so a block's first id and the row counts of the
-    blocks before it are enough; no file is sorted. Apply it before rows are dropped.
+    Ids of a block are consecutive, so a block's first id and the lengths of the blocks
+    before it are enough; no file is sorted. Where rows were dropped before, numbers still
+    rise in file order but no longer count the dropped rows at block ends.
     """
+    span = F.max("row_id") - F.min("row_id") + 1
     blocks = rows.groupBy("file_path", "block_start").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("row_id").alias("_first")
+        span.alias("_n"), F.min("row_id").alias("_first")
     )
     earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(

@@ -208,6 +208,19 @@ def test_split_json(spark, tmp_path):
     assert numbers(flatten_one_line=True) == [f'{{"n":{i}}}' for i in (1, 2, 4, 5, 6, 7, 8)]
 
 
+def test_split_json_over_many_blocks_with_blank_lines(spark, tmp_path):
+    lines = [f'{{"n": {i}}}' + "\n" * (1 + i % 3) for i in range(2000)]
+    lines[1500] = "bad\n"
+    put(tmp_path, "b/1.json", "".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        rows = files.read_split_json(spark, str(tmp_path / "b"))
+        found = sorted(r[0] for r in rows.select(F.try_variant_get("record", "$.n", "int")).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == list(range(1500))
+
+
 def test_discovery(spark, tmp_path):
     for name in ("r/a/x_postprocessed.jsonl", "r/a/b/y.jsonl", "r/c/d/z.jsonl", "r/c/d/w_postprocessed_METEOR0.40.jsonl"):
         put(tmp_path, name, "{}\n")
