@@ -82,7 +82,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = rows.schema["doc_id"].dataType.simpleString()
     runs = saved(ranges.mapInArrow(_runs, _RUNS.format(id=id_type)), "exact-runs")
 
-    # two texts and a run number per range: as many rows as there are ranges
+    # two texts and a run number per range, later one pair of numbers: as many rows as ranges
     ends = runs.filter("first_text IS NOT NULL OR last_text IS NOT NULL").groupBy("part").agg(
         F.max("first_text").alias("first_text"), F.max("last_text").alias("last_text"), F.max("run").alias("last_run")
     )
@@ -93,7 +93,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = ends.withColumn("to", F.last(own, ignorenulls=True).over(before)).filter("joined")
     joined = joined.select("part", F.lit(0).cast("long").alias("run"), F.col("to.part").alias("to_part"), F.col("to.run").alias("to_run"))
 
-    rows = runs.drop("first_text", "last_text").join(joined, ["part", "run"], "left").select(
+    rows = runs.drop("first_text", "last_text").join(F.broadcast(joined), ["part", "run"], "left").select(
         "doc_id",
         "text_sha256",
         F.coalesce("to_part", "part").alias("part"),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import exact, mixing
+from retort.llm import bpe, exact, mixing, wavelet
 from retort.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,19 @@ FROM n
 def op9_exact_dedup(spark, sf_dir):
     """Groups of equal documents by content sort."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op4_wavelet_shards(spark, sf_dir):
+    """Token ids of all documents written to wavelet-matrix shards, and read back from them."""
+    shards = wavelet.write_shards(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), wavelet.new_path(spark, "op4-shards"), end_id=2
+    )
+    return wavelet.read_documents(shards)
+
+
+@_query()
+def op6_bpe_round_trip(spark, sf_dir):
+    """Token ids of all documents by the merge transducer, and the texts that they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
