@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import bpe, exact, mixing, wavelet
+from retort.llm import bpe, exact, mixing, substring, wavelet
 from retort.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,22 @@ def op6_bpe_round_trip(spark, sf_dir):
     """Token ids of all documents by the merge transducer, and the texts that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@_query(
+    r"""
+WITH w AS (SELECT rowid AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
+s AS (SELECT r, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+h AS (SELECT s.r, s.i, md5(array_to_string(ws[s.i:s.i + 34], ' ')) AS k FROM s JOIN w USING (r)),
+d AS (SELECT r, i FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT DISTINCT r, i + j AS i FROM d, range(0, 35) t(j)),
+p AS (SELECT r, doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+k AS (SELECT p.r, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN p.ws[p.i] END, ' ' ORDER BY p.i) AS kept
+        FROM p LEFT JOIN g USING (r, i) GROUP BY p.r)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (r)
+"""
+)
+def op5_passage_removal(spark, sf_dir):
+    """All documents without the words of 35-word windows that occur more than once."""
+    return substring.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
