@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import bpe, exact, mixing, substring, wavelet
+from retort.llm import bpe, exact, mixing, ngram_join, substring, wavelet
 from retort.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,23 @@ FROM w LEFT JOIN k USING (r)
 def op5_passage_removal(spark, sf_dir):
     """All documents without the words of 35-word windows that occur more than once."""
     return substring.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@_query(
+    r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT r, md5(array_to_string(ws[i:i + 4], ' ')) AS k
+        FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM g a JOIN g b ON a.k = b.k AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+SELECT w.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (r) JOIN (SELECT a AS r, min(x.doc_id) AS component_id FROM reach JOIN w x ON x.r = reach.b GROUP BY a) c USING (r)
+"""
+)
+def op2_ngram_jaccard(spark, sf_dir):
+    """Components of all documents under 80 % of equal five-word shingles."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("set_id")
