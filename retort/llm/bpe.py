@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -40,30 +41,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def split_words(text: str) -> list[str]:
-    """The text cut before each space that a non-space follows; no match of a pattern that takes
-    white space only by itself or as one leading space runs over such a cut."""
-    parts = text.split(" ") if _ODD_SPACE.search(text) is None else _CUT.split(text)
-    return [parts[0], *[" " + p for p in parts[1:]]]
+#: Cut out between single spaces and line feeds, these are not one word: white space is not single.
+NOT_ONE_WORD = re.compile(r"\A\n?\Z|\A[^\S\n]|(?<=.)\s", re.DOTALL)
 
 
-_ODD_SPACE = re.compile(r" (?=\s|$)")
-_CUT = re.compile(r" (?=\S)")
+def split_words(text: str) -> list[str]:
+    """The text cut before each space and line feed, each word without that space (the first one
+    stands as if it had one). Where white space is single, no match of a pattern that takes it by
+    itself or as one leading space runs over such a cut."""
+    return text.replace("\n", " \n").split(" ")
 
 
 class State:
-    """What later steps depend on: bytes not yet emitted, the token before them, the chains.
+    """What later steps depend on: the chains of last tokens, and where a later token may start.
 
-    ``chains`` has, for the positions that open chains run through, where the last token of the
-    prefix begins and which it is; ``open`` the positions that a later token may start at, each
-    with the token that it would stand behind. ``steps``: by byte, the next state and the tokens
-    certain by then.
+    ``size`` bytes are not emitted yet. ``chains`` has position, beginning and id of the last token
+    of each prefix that an open chain runs through, flat; ``open`` has the positions that a later
+    token may start at, each with the token before it and the place in the vocabulary's trie that
+    the bytes since lead to. ``steps``: by byte, the next state and the tokens certain by then.
     """
 
-    __slots__ = ("pending", "chains", "open", "steps", "end")
+    __slots__ = ("size", "chains", "open", "steps", "end")
 
-    def __init__(self, pending: bytes, chains: dict[int, tuple[int, int]], opens: list[tuple[int, int]]):
-        self.pending, self.chains, self.open = pending, chains, opens
+    def __init__(self, size: int, chains: tuple[int, ...], opens: tuple[tuple[int, int, int], ...]):
+        self.size, self.chains, self.open = size, chains, opens
         self.steps: dict[int, tuple[State, tuple[int, ...]]] = {}
         self.end: tuple[int, ...] | None = None
 
@@ -78,13 +79,25 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.beginnings = {token[:k] for token in ranks for k in range(len(token))}
+        self.trie: dict[int, int] = {}
+        self.at_node: list[int | None] = [None]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                child = self.trie.get(node << 8 | byte)
+                if child is None:
+                    child = self.trie[node << 8 | byte] = len(self.at_node)
+                    self.at_node.append(None)
+                node = child
+            self.at_node[node] = rank
+        self.inner = {key >> 8 for key in self.trie}
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.start = State(b"", {}, [(0, NOTHING)])
+        self.start = State(0, (), ((0, NOTHING, 0),))
         self.states: dict[tuple, State] = {}
 
     def split(self, token: int) -> tuple[int, int] | None:
@@ -122,12 +135,13 @@ class Transducer:
 
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """Make the step of ``byte``."""
-        data = state.pending + bytes((byte,))
-        n, chains, pairs, beginnings = len(data), state.chains, self.pairs, self.beginnings
+        n, flat, pairs = state.size + 1, state.chains, self.pairs
         opens, last = [], None
-        for p, token in state.open:
-            rest = data[p:]
-            if last is None and (new := self.ranks.get(rest)) is not None:
+        for p, token, node in state.open:
+            node = self.trie.get(node << 8 | byte)
+            if node is None:
+                continue
+            if last is None and (new := self.at_node[node]) is not None:
                 allowed = pairs.get((token, new))
                 if allowed is None:
                     if len(pairs) >= MAX_PAIRS:
@@ -135,15 +149,16 @@ class Transducer:
                     allowed = pairs[token, new] = self.may_follow(token, new)
                 if allowed:
                     last = (p, new)
-            if rest in beginnings:
-                opens.append((p, token))
+            if node in self.inner:
+                opens.append((p, token, node))
+        chains = {flat[i]: (flat[i + 1], flat[i + 2]) for i in range(0, len(flat), 3)}
         if last is not None:
-            chains = {**chains, n: last}
-            opens.append((n, last[1]))
+            chains[n] = last
+            opens.append((n, last[1], 0))
         if not opens:
             raise ValueError(f"byte {byte} is in no token")
         cut = opens[-1][0]
-        for p, _ in opens:
+        for p, _, _ in opens:
             while p != cut:
                 if p > cut:
                     p = chains[p][0]
@@ -154,15 +169,16 @@ class Transducer:
             p, token = chains[p]
             out.append(token)
         kept: dict[int, tuple[int, int]] = {}
-        for p, _ in opens:
-            while p > cut and p - cut not in kept:
-                before, token = chains[p]
-                kept[p - cut] = (before - cut, token)
-                p = before
-        key = (data[cut:], opens[0][1] if opens[0][0] == cut else None, tuple(sorted(kept.items())))
+        for p, _, _ in opens:
+            while p > cut and p not in kept:
+                kept[p] = chains[p]
+                p = kept[p][0]
+        flat = tuple([x for p in sorted(kept) for x in (p - cut, kept[p][0] - cut, kept[p][1])])
+        places = tuple([(p - cut, token, node) for p, token, node in opens])
+        key = (n - cut, flat, places)
         target = self.states.get(key)
         if target is None:
-            target = self.states[key] = State(key[0], kept, [(p - cut, token) for p, token in opens])
+            target = self.states[key] = State(*key)
         state.steps[byte] = made = (target, tuple(reversed(out)))
         return made
 
@@ -177,10 +193,11 @@ class Transducer:
             if out:
                 ids += out
         if state.end is None:
-            p, tail = len(state.pending), []
+            flat, p, tail = state.chains, state.size, []
+            chains = {flat[i]: flat[i + 2] for i in range(0, len(flat), 3)}
             while p > 0:
-                p, token = state.chains[p]
-                tail.append(token)
+                tail.append(chains[p])
+                p -= self.lengths[tail[-1]]
             state.end = tuple(reversed(tail))
         ids += state.end
         return ids
@@ -242,32 +259,62 @@ class Codec:
         inside = re.sub(r"\[([^\]]*?)\\s", lambda m: f"[{m[1]}{WHITE_SPACE}", pattern)
         inside = inside.replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]")
         self.find = regex.compile(inside).findall
+        #: the pattern takes letters with one leading space, other marks by themselves
+        self.words_apart = self.find(" ab, c\nd 1") == [" ab", ",", " c", "\n", "d", " 1"]
+        self.marks = {m: self.pieces(m) for m in ".,;:!?"}
         self.words: dict[str, tuple[int, ...]] = {}
         self.earlier: dict[str, tuple[int, ...]] = {}
         self.steps: dict[tuple, dict] = {}
+        top = max(self.transducer.tokens) + 1
+        shown = np.array([f"{i} " for i in range(top)], "S")
+        self.digits = shown.view(np.uint8).reshape(top, shown.dtype.itemsize)
 
     def encode(self, text: str) -> list[int]:
-        words, ids = self.words, []
-        if len(words) >= MAX_WORDS:
-            self.earlier, self.words = words, {}
-            words = self.words
-        for word in split_words(text):
-            found = words.get(word)
-            ids += found if found is not None else self.new_word(word)
-        return ids
+        if not text:
+            return []
+        if len(self.words) >= MAX_WORDS:
+            self.earlier, self.words = self.words, {}
+        words = self.words
+        first, *others = split_words(text)
+        if self.words_apart and not NOT_ONE_WORD.search(first):
+            ids = list(self.pieces(first))
+            for word in others:
+                found = words.get(word)
+                if found is None:
+                    found = self.new_word(word)
+                    if found is None:
+                        break
+                ids += found
+            else:
+                return ids
+        return list(self.pieces(text))
+
+    def pieces(self, text: str) -> tuple[int, ...]:
+        """Ids of a text, each match of the pattern by itself."""
+        return sum([tuple(self.transducer.encode(piece.encode())) for piece in self.find(text)], ())
 
-    def new_word(self, word: str) -> tuple[int, ...]:
+    def new_word(self, word: str) -> tuple[int, ...] | None:
+        """Ids of a word and the space before it; None if it isn't one word."""
         found = self.earlier.get(word)
         if found is None:
-            matches = self.find(word)
-            if len(matches) == 1:
-                found = tuple(self.transducer.encode(word.encode()))
+            if NOT_ONE_WORD.search(word):
+                return None
+            stem = word[:-1]
+            if word.isalpha():
+                found = tuple(self.transducer.encode(b" " + word.encode()))
+            elif word[-1] in self.marks and stem.isalpha():
+                found = (self.words.get(stem) or self.new_word(stem)) + self.marks[word[-1]]
             else:
-                found = sum((self.words.get(piece) or self.new_word(piece) for piece in matches), ())
+                found = self.pieces(word if word[0] == "\n" else " " + word)
         if len(word) <= 64:
             self.words[word] = found
         return found
 
+    def decimal(self, ids: list[int]) -> bytes:
+        """The ids in decimal, joined by one space."""
+        digits = self.digits[np.array(ids, np.int64)].reshape(-1)
+        return digits[digits != 0].tobytes()[:-1]
+
     def decode(self, ids, state: tuple[int, int, int, int] = Utf8.START) -> tuple[str, tuple[int, int, int, int]]:
         """Characters completed by ``ids`` after ``state``, and the state after them."""
         tokens, out = self.transducer.tokens, []
@@ -340,7 +387,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     ids = own.encode(text) if text else []
                     back, state = own.decode(ids)
                     counts.append(len(ids))
-                    of_ids.append(digest(" ".join(map(str, ids)).encode()))
+                    of_ids.append(digest(own.decimal(ids)))
                     of_texts.append(digest((back + Utf8.end(state)).encode()))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())],
