@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retort.llm import bpe, exact, mixing, ngram_join, substring, wavelet
+from retort.llm import bpe, exact, mixing, mtree, ngram_join, quotes, secret_links, substring, toxicity, wavelet
 from retort.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,76 @@ FROM w LEFT JOIN n USING (r) JOIN (SELECT a AS r, min(x.doc_id) AS component_id
 def op2_ngram_jaccard(spark, sf_dir):
     """Components of all documents under 80 % of equal five-word shingles."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("set_id")
+
+
+def _held_out(doc_id):
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+@_query()
+def op1_toxicity(spark, sf_dir):
+    """All documents scored by a network trained on the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    weights = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", lambda doc_id: ~_held_out(doc_id))
+    scored = toxicity.score_documents(docs, weights)
+    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@_query(
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::double * x::double)::bigint) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+)
+def op8_mtree_top_k(spark, sf_dir):
+    """The five rows of highest integer inner product for every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", mtree.scaled(F.col("embedding")).alias("vector"))
+    return mtree.top_k(vectors, F.col("vec_id") % 50 == 0, 5, vector_col="vector").withColumnRenamed("id", "vec_id")
+
+
+@_query()
+def op7_secret_links(spark, sf_dir):
+    """Secrets of all documents, with the weak candidates that other parts support."""
+    rows = secret_links.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"].isin(*secret_links.BASE))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(
+        "doc_id",
+        *[count(kind) for kind in secret_links.BASE],
+        F.sha2(secret_links.listed(base), 256).alias("base_sha256"),
+        secret_links.listed(F.col("found")).alias("spans"),
+    )
+
+
+@_query(
+    r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
+        trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM conversations),
+q AS (SELECT *, lag(norm) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lag(norm, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS earlier FROM m),
+f AS (SELECT conv_id, norm, min(turn) AS first FROM m WHERE norm <> '' GROUP BY conv_id, norm),
+p AS (SELECT q.*, coalesce(a.first, b.first) AS parent_id FROM q
+        LEFT JOIN f a ON a.conv_id = q.conv_id AND a.norm = q.before AND a.first < q.turn
+        LEFT JOIN f b ON b.conv_id = q.conv_id AND b.norm = q.earlier AND b.first < q.turn),
+t AS (SELECT conv_id, turn, turn AS root_id, 0 AS depth FROM p WHERE parent_id IS NULL
+        UNION ALL SELECT p.conv_id, p.turn, t.root_id, t.depth + 1 FROM p JOIN t ON p.conv_id = t.conv_id AND p.parent_id = t.turn)
+SELECT p.conv_id, p.turn, p.role, p.parent_id, t.root_id, t.depth::bigint AS depth, md5(p.text) AS text_md5
+FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn
+"""
+)
+def op10_quote_threads(spark, sf_dir):
+    """All turns as replies that quote the two turns before, and the conversations found from the quotes.
+
+    The table has no quotes of its own: Spark writes them, and the operator sees only the texts.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    by_turn = Window.partitionBy("conv_id").orderBy("turn")
+    before, earlier = F.lag("text").over(by_turn), F.lag("text", 2).over(by_turn)
+    mail = F.concat_ws("\n", quotes.quote(quotes.quote(earlier)), quotes.quote(before), F.coalesce("text", F.lit("")))
+    found = quotes.threads(turns.withColumn("text", mail))
+    return found.select(
+        F.col("scope").alias("conv_id"), F.col("id").alias("turn"), "role", "parent_id", "root_id", "depth", F.md5("text").alias("text_md5")
+    )
