@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -30,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retort.llm.bpe import NOT_ONE_WORD, split_words
 from retort.llm.text import new_path, pieces, saved
 
 __all__ = ["build", "Shard", "write_shards", "read_documents", "new_path"]
@@ -55,9 +55,11 @@ def build(ids: np.ndarray, doc_lengths: np.ndarray) -> bytes:
         counts = [int(np.bitwise_count(b).sum()) for b in blocks]
         ones_before.append(np.cumsum([0, *counts[:-1]], dtype=np.uint32) if counts else np.zeros(0, np.uint32))
         planes.extend(b.tobytes() for b in blocks)
-        low = current.take(np.flatnonzero(~ones))
-        zeros.append(len(low))
-        current = np.concatenate([low, current.take(np.flatnonzero(ones))])
+        zeros.append(len(ones) - int(np.count_nonzero(ones)))
+        parted = np.empty_like(current)
+        np.compress(~ones, current, out=parted[: zeros[-1]])
+        np.compress(ones, current, out=parted[zeros[-1] :])
+        current = parted
     sections = [np.cumsum(doc_lengths, dtype=np.int64).tobytes(), np.concatenate(ones_before).tobytes(), *planes]
     pack = zstandard.ZstdCompressor(level=1)
     stored = [pack.compress(s) for s in sections]
@@ -180,10 +182,6 @@ class Shard:
         return values
 
 
-#: What is cut out between single spaces and line feeds but is not one word, as white space is not single there.
-_NOT_ONE_WORD = re.compile(r"\A\n?\Z|\A[^\S\n]|(?<=.)\s", re.DOTALL)
-
-
 class _Encoder:
     """Ids of words by the tokenizers library, each new word encoded once while it is kept.
 
@@ -237,7 +235,7 @@ class _Encoder:
             self.earlier, self.words = self.words, {}
         words, earlier, end = self.words, self.earlier, struct.pack("<I", end_id)
         # as if a space came first; the true first word is put in its place below
-        split = [text.replace("\n", " \n").split(" ") if text else [] for text in texts]
+        split = [split_words(text) if text else [] for text in texts]
         new = []
         for word in set().union(*(s[1:] for s in split)).difference(words):
             found = earlier.get(word)
@@ -245,9 +243,9 @@ class _Encoder:
                 new.append(word)
             else:
                 words[word] = found
-        bad = {w for w in new if _NOT_ONE_WORD.search(w)}
+        bad = {w for w in new if NOT_ONE_WORD.search(w)}
         self._learn([w for w in new if w not in bad] if bad else new)
-        whole = [i for i, s in enumerate(split) if s and (_NOT_ONE_WORD.search(s[0]) or bad and not bad.isdisjoint(s))]
+        whole = [i for i, s in enumerate(split) if s and (NOT_ONE_WORD.search(s[0]) or bad and not bad.isdisjoint(s))]
         others = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
         firsts = iter(self._ids([s[0] for i, s in enumerate(split) if s and i not in others]))
         encoded = []
@@ -309,7 +307,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_c
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "file", "n_tokens", "doc_ids"])
 
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 1 << 20):
                 for i, ids in enumerate(own.encode(piece.column("text").to_pylist(), end_id)):
                     held.append(ids)
                     names.append(piece.column("doc_id").slice(i, 1))
