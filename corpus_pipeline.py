@@ -1,2 +1,75 @@
-"""Stages."""
-STAGES = []
+"""A corpus pipeline in five stages, each over all that the one before kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from retort.llm import bpe, exact, mixing, ngram_join, toxicity
+from retort.llm.text import saved
+from retort.queries.registry import table
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network doesn't reject."""
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False))
+    weights = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", lambda _: ~held_out)
+    return toxicity.clean_documents(docs, weights)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: that with the smallest identifier."""
+    rows = _numbered(docs)
+    kept = exact.exact_groups(rows, id_col="_row").filter("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: that with the smallest identifier."""
+    rows = _numbered(docs)
+    found = ngram_join.near_duplicates(rows, id_col="_row")
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their target weights; a document is repeated as often as it is taken."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the digest of what they decode to."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows, each with a key of its own that follows the identifiers' order, nulls last.
+
+    Identifiers may be null or repeated; the key makes one row of a group the one that stays: that
+    with the smallest identifier, and of those that share it the first in the files. ``docs`` is
+    read from files, whose splits number the rows alike every time.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.monotonically_increasing_id().alias("row"))
+    return docs.withColumn("_row", key)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
+
+#: SQL can't express the first and the last stage; tests compare with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = saved(docs, f"pipeline-stage-{k + 1}")
+    return docs

@@ -299,6 +299,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, usable, max_per_labe
     return train(sample["text"].tolist(), sample["label"].to_numpy())
 
 
+def _scores(w: dict, texts: pa.Array) -> np.ndarray:
+    return _sigmoid(logits(w, _Input(texts)).astype(np.float64) + float(w["shift"][0]))
+
+
 def score_documents(docs: DataFrame, weights: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score (0 to 1), predicted (1 from a score of 0.7 on).
 
@@ -316,8 +320,22 @@ def score_documents(docs: DataFrame, weights: dict | None, id_col: str = "doc_id
         w = shared.value
         for batch in batches:
             for piece in pieces(batch, "text"):
-                score = _sigmoid(logits(w, _Input(piece.column("text"))).astype(np.float64) + float(w["shift"][0]))
+                score = _scores(w, piece.column("text"))
                 columns = [piece.column("doc_id"), pa.array(score), pa.array((score >= LIMIT).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted"])
 
     return rows.mapInArrow(run, f"doc_id {id_type}, score double, predicted int")
+
+
+def clean_documents(docs: DataFrame, weights: dict | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, in all their columns, that score_documents would not mark as toxic."""
+    if weights is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text_col):
+                yield piece.filter(pa.array(_scores(shared.value, piece.column(text_col)) < LIMIT))
+
+    return docs.mapInArrow(run, docs.schema)
