@@ -6,16 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def shuffle_width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def salted_join(df: DataFrame, few: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """Join with a frame of one row per group, so that no group's rows gather in one task.
+
+    Rows are dealt out by group and a hash of ``by`` (columns that tell rows of a group apart);
+    ``few`` is repeated once per salt, and there are as many salts as shuffle partitions.
+    """
+    salts = shuffle_width(df)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    every = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(every, [*keys, "_salt"], how).drop("_salt")
+
+
 def last_per_key(df: DataFrame, keys: list[str], ordinal: str | Column) -> DataFrame:
-    """Last record per key by ``ordinal``; records without a key are dropped.
+    """Last record per key by ``ordinal`` (unique within a key); records without a key are dropped.
 
-    ``max_by`` combines on the map side, so a hot key never gathers in one task.
+    The last ordinals are found on the keys alone (a hash aggregate), and records are only
+    filtered by them, so whole records are never aggregated and a hot key is spread.
     """
-    order = F.col(ordinal) if isinstance(ordinal, str) else ordinal
-    present = df.dropna(subset=keys)
-    rest = [c for c in df.columns if c not in keys]
-    latest = present.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"))
-    return latest.select(*keys, "_r.*").select(*df.columns)
+    present = df.dropna(subset=keys).withColumn("_last", F.col(ordinal) if isinstance(ordinal, str) else ordinal)
+    latest = present.groupBy(*keys).agg(F.max("_last").alias("_last"))
+    return present.join(latest, [*keys, "_last"]).select(*df.columns)
 
 
 def paired(
@@ -47,7 +62,7 @@ def difference(full: DataFrame, taken: DataFrame, group: str, key: str) -> DataF
     """
     ids = taken.select(group, key).distinct()
     known = ids.select(group).distinct()
-    return full.join(known, group, "left_semi").join(ids, [group, key], "left_anti")
+    return salted_join(full.join(ids, [group, key], "left_anti"), known, [group], [key], "left_semi")
 
 
 def pending(requests: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -8,15 +8,17 @@ aggregation, and only rows within one bucket are ever sorted together.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 from pyspark.storagelevel import StorageLevel
 
+from retort.operators.joins import salted_join, shuffle_width
 from retort.operators.records import keep_computed
 
-HASH_DIGITS = 3  # 16 ** 3 = 4096 buckets of a uniform hash
 BRACKET_VALUES = 200_000  # distinct values the last step of an order statistic may sort
 
 
@@ -36,6 +38,11 @@ def _before(order: str, by: list[str], weight: Column) -> Column:
     return F.coalesce(F.sum(weight).over(window), F.lit(0).cast("bigint"))
 
 
+def _hash_digits(df: DataFrame) -> int:
+    """Leading digits of a hash that make 64 buckets or more for each shuffle partition."""
+    return max(2, math.ceil(math.log(64 * shuffle_width(df), 16)))
+
+
 def sample_per_group(
     df: DataFrame,
     groups: list[str],
@@ -45,28 +52,42 @@ def sample_per_group(
 ) -> DataFrame:
     """The ``limit`` rows of each group that come first in ``key`` (a hash) order.
 
-    ``limit`` may depend on the group columns, and on ``_group_rows`` (rows of the group).
-    Groups at or below their limit are kept whole.
+    ``limit`` is worked out per group; it may use the group columns, ``_group_rows`` (rows of the
+    group) and windows over groups. Groups at or below their limit are kept whole. The last key
+    of each group is found on the order columns alone, in the one hash bucket in which the limit
+    falls; the rows are then only filtered by it and move once.
     """
-    keyed = df.withColumn("_key", key).withColumn("_bucket", F.substr("_key", F.lit(1), F.lit(HASH_DIGITS)))
-    sizes = keyed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy(*groups))
+    ties = list(ties)
+    keyed = df.withColumn("_key", key)
+    slim = keyed.select(*groups, "_key", *[t for t in ties if t not in groups]).withColumn(
+        "_bucket", F.substr("_key", F.lit(1), F.lit(_hash_digits(df)))
+    )
+    sizes = slim.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     quota = limit if isinstance(limit, Column) else F.lit(limit)
-    needed = (
-        sizes.withColumn("_group_rows", total)
+    limits = (
+        sizes.groupBy(*groups)
+        .agg(F.sum("_n").alias("_group_rows"))
         .withColumn("_limit", quota.cast("bigint"))
+        .filter("_limit > 0")
+    )
+    crossed = (
+        sizes.join(limits.filter("_limit < _group_rows"), groups)
         .withColumn("_before", _before("_bucket", groups, F.col("_n")))
-        .filter("_before < _limit")
-        .drop("_n", "_group_rows")
+        .filter("_before < _limit AND _limit <= _before + _n")
+        .select(*groups, "_bucket", (F.col("_limit") - F.col("_before")).alias("_nth"))
     )
     in_bucket = Window.partitionBy(*groups, "_bucket").orderBy("_key", *ties)
-    return (
-        keyed.join(needed, [*groups, "_bucket"])
-        .withColumn("_rank", F.row_number().over(in_bucket) + F.col("_before"))
-        .filter("_rank <= _limit")
-        .drop("_key", "_bucket", "_before", "_limit", "_rank")
-        .select(*df.columns)
+    order = F.struct("_key", *ties)
+    last = (
+        slim.join(crossed, [*groups, "_bucket"])
+        .withColumn("_rank", F.row_number().over(in_bucket))
+        .filter("_rank = _nth")
+        .select(*groups, order.alias("_cut"))
     )
+    cuts = limits.select(*groups).join(last, groups, "left")
+    kept = salted_join(keyed, cuts, groups, ["_key"])
+    inside = F.col("_cut").isNull() | (order <= F.col("_cut"))
+    return keep_computed(kept, inside).select(*df.columns)
 
 
 def _bucketed(df: DataFrame, value: str, bounds: str, buckets: int) -> DataFrame:
@@ -82,7 +103,7 @@ def _bucketed(df: DataFrame, value: str, bounds: str, buckets: int) -> DataFrame
     return df
 
 
-def cumulative_counts(df: DataFrame, groups: list[str], value: str, buckets: int = 512) -> DataFrame:
+def cumulative_counts(df: DataFrame, groups: list[str], value: str, buckets: int | None = None) -> DataFrame:
     """Distinct values per group with ``n`` rows each and ``before`` rows of smaller value.
 
     ``n_values`` is the number of rows with a value in the group. Equal values collapse first
@@ -90,8 +111,10 @@ def cumulative_counts(df: DataFrame, groups: list[str], value: str, buckets: int
 
     The buckets are cut at a sample of the distinct values, which affects balance only. The
     sample takes one value per hash class, so it is the same each time it is computed; a
-    quantile sketch is not, and the two uses of the cuts below would disagree.
+    quantile sketch is not, and the two uses of the cuts below would disagree. There are eight
+    buckets for each shuffle partition.
     """
+    buckets = buckets or max(64, 8 * shuffle_width(df))
     keys = groups or ["_every"]
     source = df if groups else df.withColumn("_every", F.lit(0))
     counts = (
@@ -106,9 +129,8 @@ def cumulative_counts(df: DataFrame, groups: list[str], value: str, buckets: int
     bounds = sample.groupBy(*keys).agg(
         F.array_sort(F.collect_set("_cut")).alias("_bounds"), F.sum("_n").alias("n_values")
     )
-    placed = _bucketed(
-        counts.join(bounds if groups else F.broadcast(bounds), keys), value, "_bounds", buckets
-    ).drop("_bounds")
+    bounded = salted_join(counts, bounds, keys, [value]) if groups else counts.join(F.broadcast(bounds), keys)
+    placed = _bucketed(bounded, value, "_bounds", buckets).drop("_bounds")
     offsets = (
         placed.groupBy(*keys, "_bucket")
         .agg(F.sum("n").alias("_n"))
@@ -189,10 +211,10 @@ def average_ranks(df: DataFrame, value: str, rank: str, source: DataFrame | None
     """Adds the 1-based rank over the whole frame, ties sharing their mean rank; rows without
     a value leave.
 
-    Values with at least a thousandth of the rows are at most a thousand: their ranks are
-    fetched and joined by broadcast, and their rows are salted for the join with the other
-    ranks, in which they have no partner, so that no hot value gathers its rows in one task.
-    ``source`` is a cheaper frame with the same values to count, where ``df`` is costly.
+    Values with at least a thousandth of the rows are at most a thousand: their ranks are a
+    broadcast frame, and their rows don't take part in the join with the other ranks, so no hot
+    value gathers its rows in one task. ``source`` is a cheaper frame with the same values to
+    count, where ``df`` is costly.
     """
     ranked = cumulative_counts(df if source is None else source, [], value).select(
         value,
@@ -200,15 +222,11 @@ def average_ranks(df: DataFrame, value: str, rank: str, source: DataFrame | None
         (F.col("n") * 1000 >= F.col("n_values")).alias("_hot"),
     )
     hot = keep_computed(ranked, F.col("_hot")).select(value, F.col(rank).alias("_hot_rank"))
-    fetched = hot.collect()
-    if not fetched:
-        return df.join(ranked.drop("_hot"), value).select(*df.columns, rank)
-    table = df.sparkSession.createDataFrame(fetched, hot.schema)
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(1024)) + 1
-    marked = df.join(F.broadcast(table), value, "left").withColumn(
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if not isinstance(df.schema[c].dataType, (MapType, VariantType))]), F.lit(1024)) + 1
+    marked = df.join(F.broadcast(hot), value, "left").withColumn(
         "_salt", F.when(F.col("_hot_rank").isNotNull(), salt).otherwise(F.lit(0))
     )
-    others = ranked.withColumn("_salt", F.lit(0).cast("bigint")).drop("_hot")
+    others = keep_computed(ranked, ~F.col("_hot")).withColumn("_salt", F.lit(0).cast("bigint")).drop("_hot")
     both = marked.join(others, [value, "_salt"], "left")
     ranks = both.withColumn(rank, F.coalesce("_hot_rank", rank))
     return keep_computed(ranks, F.col(rank).isNotNull()).select(*df.columns, rank)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retort.constants import UPSAMPLE_COPIES, UPSAMPLE_TARGET
+from retort.operators.joins import salted_join
 from retort.operators.ranking import (
     cumulative_counts,
     hash_key,
@@ -79,10 +80,15 @@ def first_rows(df: DataFrame, n: int, ordinal: str) -> DataFrame:
 
 
 def first_per_task(df: DataFrame, n: int, ordinal: str, task: str = "task") -> DataFrame:
-    """First ``n`` rows of each task in source order, by counts instead of a task-wide sort."""
-    ranked = cumulative_counts(df, [task], ordinal).filter(F.col("before") < n)
-    cut = ranked.groupBy(task).agg(F.max(ordinal).alias("_last"))
-    return df.join(cut, task).filter(F.col(ordinal) <= F.col("_last")).drop("_last")
+    """First ``n`` rows of each task in source order (``n`` is small).
+
+    The first ordinals of a task are found on two columns, ``n`` from each map task at most.
+    """
+    place = F.row_number().over(Window.partitionBy(task).orderBy(ordinal))
+    first = df.select(task, ordinal).withColumn("_place", place).filter(F.col("_place") <= n)
+    cut = first.groupBy(task).agg(F.max(ordinal).alias("_last"))
+    kept = salted_join(df, cut, [task], [ordinal])
+    return kept.filter(F.col(ordinal) <= F.col("_last")).select(*df.columns)
 
 
 def quota_sample(
@@ -101,12 +107,8 @@ def aligned(
 
     A mode that lacks a task has no count for it and does not pull it to zero.
     """
-    sizes = df.groupBy(task, mode).agg(F.count(F.lit(1)).alias("_size"))
-    least = sizes.groupBy(task).agg(F.min("_size").alias("_least"))
-    limited = df.join(least, task)
-    return sample_per_group(
-        limited, [task, mode, "_least"], F.col("_least"), hash_key(key, seed=seed), [key]
-    ).drop("_least")
+    least = F.min("_group_rows").over(Window.partitionBy(task))
+    return sample_per_group(df, [task, mode], least, hash_key(key, seed=seed), [key])
 
 
 def alignment_report(df: DataFrame, task: str = "task", mode: str = "mode") -> DataFrame:
@@ -136,7 +138,7 @@ def upsample(
 
     times = F.when(F.col("_n") >= target, 1).otherwise(copies)
     repeated = (
-        df.join(sizes.filter(~drawn), task)
+        salted_join(df, sizes.filter(~drawn), [task], [ordinal])
         .withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
         .drop("_n")
     )
@@ -147,7 +149,9 @@ def upsample(
         .withColumn("_pos", hash_number(hash_key(F.col(task), F.col("copy"), seed=seed), F.col("_n")))
     )
     positions = cumulative_counts(
-        df.join(sizes.filter(drawn).select(task), task, "left_semi"), [task], ordinal
+        salted_join(df.select(task, ordinal), sizes.filter(drawn).select(task), [task], [ordinal], "left_semi"),
+        [task],
+        ordinal,
     ).select(task, ordinal, F.col("before").alias("_pos"))
     picks = draws.join(positions, [task, "_pos"]).select(task, ordinal, "copy")
     return repeated.unionByName(df.join(picks, [task, ordinal]))

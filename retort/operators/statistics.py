@@ -133,7 +133,7 @@ def iqr_rmse(
     """RMSE per group after dropping errors beyond q3 + 1.5 IQR, and the mean over groups."""
     errors = df.select(
         group, F.abs(F.col(predicted) - F.col(truth)).alias("abs_error")
-    ).dropna()
+    ).filter(F.col(group).isNotNull() & F.col("abs_error").isNotNull())
     bounds = _error_bounds(errors, [group], multiplier).select(group, "bound", "n_values")
     per_group = (
         errors.join(bounds, group)
@@ -147,7 +147,7 @@ def iqr_rmse(
 
 def error_summary(df: DataFrame, predicted: str, truth: str, multiplier: float = 1.5) -> DataFrame:
     """Quartiles of |error| over everything and the share beyond q3 + 1.5 IQR."""
-    errors = df.select(F.abs(F.col(predicted) - F.col(truth)).alias("abs_error")).dropna()
+    errors = df.select(F.abs(F.col(predicted) - F.col(truth)).alias("abs_error")).filter("abs_error IS NOT NULL")
     bounds = _error_bounds(errors, [], multiplier)
     cut = bounds.select(F.struct("q1", "q2", "q3", "bound")).scalar()
     summary = errors.withColumn("_cut", cut).agg(
@@ -273,7 +273,7 @@ def rank_cdf_curve(tokens: DataFrame, groups: list[str], points: int = 500) -> D
 def gaussian_density(
     df: DataFrame, value: str, low: float = 0.0, high: float = 1.0, points: int = 200
 ) -> DataFrame:
-    """Gaussian kernel density with Scott's bandwidth on an even grid."""
+    """Gaussian kernel density with Scott's bandwidth on an even grid; NULL where all values are equal."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     stats = df.agg(
         F.count(value).alias("n"),
@@ -284,14 +284,14 @@ def gaussian_density(
     spread = counts.select(
         value, "_n", n.alias("n"), h.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     )
-    z = (F.lit(low) + F.col("point") * F.lit(step) - F.col(value)) / F.col("h")
+    z = F.try_divide(F.lit(low) + F.col("point") * F.lit(step) - F.col(value), F.col("h"))
     return (
         spread.groupBy("point", "n", "h")
         .agg(F.sum(F.col("_n") * F.exp(-0.5 * z * z)).alias("_s"))
         .select(
             "point",
             (F.lit(low) + F.col("point") * F.lit(step)).alias("x"),
-            (F.col("_s") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"),
+            F.try_divide(F.col("_s"), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))).alias("density"),
         )
     )
 

@@ -94,14 +94,17 @@ def overlong_examples(lengths: DataFrame, group: str, ordinal: str, threshold: i
     """First message per group beyond the threshold, with a preview of its text."""
     over = lengths.filter(F.col("n_words") > threshold)
     first = over.groupBy(group).agg(
-        F.min_by(F.struct(ordinal, "n_words", "content"), F.col(ordinal)).alias("e")
+        F.min_by(
+            F.struct(ordinal, "n_words", F.left("content", F.lit(preview)).alias("preview"), F.length("content").alias("n_chars")),
+            F.col(ordinal),
+        ).alias("e")
     )
     return first.select(
         group,
         f"e.{ordinal}",
         "e.n_words",
-        F.left("e.content", F.lit(preview)).alias("preview"),
-        F.length("e.content").alias("n_chars"),
+        "e.preview",
+        "e.n_chars",
     )
 
 
@@ -109,7 +112,7 @@ def overlong_examples(lengths: DataFrame, group: str, ordinal: str, threshold: i
 
 
 def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(values)
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v.cast("double")), F.size(values))
 
 
 def token_means(df: DataFrame) -> DataFrame:
@@ -160,16 +163,22 @@ def task_comparison(first: DataFrame, second: DataFrame, task: str = "task") ->
 def paradox_examples(first: DataFrame, second: DataFrame, ordinal: str, n: int = 20) -> DataFrame:
     """Samples the second model finds likelier though their mean rank is over twice as bad.
 
-    The ``n`` largest rank ratios, for a report.
+    The ``n`` largest rank ratios, for a report. They are found on the means alone; texts and
+    token arrays are fetched for those samples only.
     """
-    pairs = matched(first, second, "sample_id", ordinal)
+    slim = ["sample_id", ordinal, "avg_prob", "avg_rank"]
+    pairs = matched(first.select(*slim), second.select(*slim), "sample_id", ordinal)
     ratio = F.col("avg_rank_2") / F.col("avg_rank")
     gain = F.col("avg_prob_2") - F.col("avg_prob")
     scored = pairs.withColumns(
         {"rank_ratio": F.when(F.col("avg_rank") >= 1e-6, ratio), "prob_diff": gain}
     )
     odd = (F.col("prob_diff") > 0) & (F.col("rank_ratio") > 2)
-    return keep_computed(scored, odd).orderBy(F.desc("rank_ratio"), ordinal).limit(n)
+    top = keep_computed(scored, odd).orderBy(F.desc("rank_ratio"), ordinal).limit(n)
+    top = top.select("sample_id", ordinal, f"{ordinal}_2", "rank_ratio", "prob_diff")
+    theirs = second.select("sample_id", *[F.col(c).alias(f"{c}_2") for c in second.columns if c != "sample_id"])
+    wide = first.join(F.broadcast(top), ["sample_id", ordinal])
+    return wide.join(theirs, ["sample_id", f"{ordinal}_2"]).orderBy(F.desc("rank_ratio"), ordinal)
 
 
 def high_rank_tokens(strs: Column, ranks: Column, probs: Column, above: int = 50, n: int = 8) -> Column:

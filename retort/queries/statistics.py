@@ -13,7 +13,7 @@ from retort.operators.records import message
 from retort.plans import analysis
 from retort.queries import duck, views
 from retort.queries.answers import _rounded
-from retort.queries.registry import query, spread, table
+from retort.queries.registry import query, table
 
 # --- numeric carriers ---------------------------------------------------------------
 
@@ -143,7 +143,7 @@ def target_ranks(spark, sf_dir):
 
 
 def _lengths(spark, sf_dir) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents")).withColumn(
+    docs = table(spark, sf_dir, "documents").withColumn(
         "messages", F.array(message("user", F.col("source")), message("assistant", F.col("text")))
     )
     return analysis.assistant_lengths(docs, "messages", "lang", "doc_id")
@@ -180,7 +180,7 @@ def length_histogram(spark, sf_dir):
 def loop_detect(spark, sf_dir):
     tail = F.array(*[F.lit(t) for t in "abcabcabc"])
     tokens = F.when(F.col("doc_id") % 3 == 0, F.concat(words(F.col("text")), tail)).otherwise(words(F.col("text")))
-    docs = spread(table(spark, sf_dir, "documents")).withColumn("tokens", tokens)
+    docs = table(spark, sf_dir, "documents").withColumn("tokens", tokens)
     return docs.select("doc_id", trailing_loop(F.col("tokens"), 2, 50, 3).alias("looped"))
 
 
@@ -258,11 +258,9 @@ _TWO = (
 )
 
 
-def _two_models(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _two_models(spark, sf_dir) -> list[DataFrame]:
     keep = ["sample_id", "doc_id", "task", "text", *_MEANS, "token_strs", "token_ranks", "token_probs"]
-    # the second model never saw one source
-    first, second = (analysis.token_means(views.token_records(spark, sf_dir, m)).select(*keep) for m in ("m1", "m2"))
-    return first, second.filter(F.col("task") != "src3")
+    return [analysis.token_means(views.token_records(spark, sf_dir, m)).select(*keep) for m in ("m1", "m2")]
 
 
 @query(
@@ -271,13 +269,15 @@ def _two_models(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     "SELECT task, round(a.p, 6) AS avg_prob_m1, round(a.r, 6) AS avg_rank_m1, a.n::bigint AS n_m1, round(b.p, 6) AS avg_prob_m2, round(b.r, 6) AS avg_rank_m2, b.n::bigint AS n_m2 FROM a JOIN b USING (task)"
 )
 def task_comparison(spark, sf_dir):
-    return _rounded(analysis.task_comparison(*_two_models(spark, sf_dir)))
+    first, second = _two_models(spark, sf_dir)
+    # the second model never saw one source: tasks of both only are the feature
+    return _rounded(analysis.task_comparison(first, second.filter(F.col("task") != "src3")))
 
 
 @query(
     _TWO
     + ", p AS (SELECT sm.sample_id, sm.doc_id, sm.task, md5(sm.text) AS output_md5, sn.avg_rank / sm.avg_rank AS rank_ratio, sn.avg_prob - sm.avg_prob AS prob_diff, sn.strs AS s2, sn.ranks AS r2 "
-    "FROM sm JOIN sn USING (sample_id) WHERE sn.task <> 'src3' AND sm.avg_rank >= 1e-6), "
+    "FROM sm JOIN sn USING (sample_id) WHERE sm.avg_rank >= 1e-6), "
     "k AS (SELECT * FROM p WHERE prob_diff > 0 AND rank_ratio > 2 ORDER BY rank_ratio DESC, doc_id LIMIT 20) "
     "SELECT sample_id, task, output_md5, round(rank_ratio, 6) AS rank_ratio, round(prob_diff, 6) AS prob_diff, "
     "array_to_string(list_transform(list_sort(list_filter(list_transform(r2, lambda r, i: {'o': -r, 'i': i, 's': s2[i] || ':' || r}), lambda z: z.o < -50))[1:8], lambda z: z.s), ' ') AS worst FROM k"

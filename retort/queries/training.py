@@ -204,11 +204,15 @@ def sharegpt_validate(spark, sf_dir):
     k = (F.col("conv_id") + F.col("turn")) % 5
     quoted = F.to_json(F.struct(F.struct("role", F.col("text").alias("content")).alias("m")))
     good = F.concat(F.lit('{"messages": ['), F.get_json_object(quoted, "$.m"), F.lit("]}"))
+    told = F.get_json_object(quoted, "$.m.content")
+    value = F.to_json(F.struct(told.alias("v")))
+    inner = F.substring(value, F.lit(6), F.length(value) - 6)
+    json = lambda lead, tail: F.concat(F.lit(lead), inner, F.lit(tail))
     text = (
-        F.when(k == 1, '{"text": 1}')
-        .when(k == 2, '{"messages": "none"}')
-        .when(k == 3, '{"messages": [{"role": "user"}]}')
-        .when(k == 4, '{"messages": [{"role": "user", "content": null}]}')
+        F.when(k == 1, json('{"text": ', "}"))
+        .when(k == 2, json('{"messages": ', "}"))
+        .when(k == 3, json('{"messages": [{"role": ', "}]}"))
+        .when(k == 4, json('{"messages": [{"content": null, "role": ', "}]}"))
         .otherwise(good)
     )
     return table(spark, sf_dir, "conversations").select(
@@ -235,31 +239,36 @@ def nothink_chats(spark, sf_dir):
     return chats.select("sample_id", said("system"), said("user"), said("assistant"), F.size("messages").alias("n_messages"))
 
 
-def _prompt_sql(mode: str) -> str:
-    lead, tail = prompts.CHEMISTRY_ORACLE
-    if mode == "oracle":
-        user = f"{_INSTRUCTION} || sample_id || {duck.lit(lead)} || lang || {duck.lit(tail)}"
-    else:
-        user = f"{_INSTRUCTION} || sample_id || chr(10) || 'Answer: '"
-    return (
-        f"SELECT sample_id, '{mode}' AS mode, {duck.lit(prompts.CHEMISTRY_SYSTEMS[mode])} AS system, {user} AS usertext FROM {_ALL}"
-    )
+#: name, instruction SQL, system texts, texts around the reference answer, tail of the direct prompt
+_PROMPT_SETS = (
+    ("chemistry", _INSTRUCTION, prompts.CHEMISTRY_SYSTEMS, prompts.CHEMISTRY_ORACLE, " || chr(10) || 'Answer: '"),
+    ("translation", "''", prompts.TRANSLATION_SYSTEMS, prompts.TRANSLATION_ORACLE, ""),
+)
+
+
+def _prompt_sql(family: str, instruction: str, systems: dict, oracle: tuple, tail: str, mode: str) -> str:
+    user = f"{instruction} || text"
+    user += f" || {duck.lit(oracle[0])} || lang || {duck.lit(oracle[1])}" if mode == "oracle" else tail
+    return f"SELECT sample_id, '{family}' AS family, '{mode}' AS mode, {duck.lit(systems[mode])} AS system, {user} AS usertext FROM {_ALL}"
 
 
 @query(
-    "SELECT sample_id, mode, md5(system) AS system_md5, md5(usertext) AS user_md5 FROM ("
-    + " UNION ALL ".join(_prompt_sql(m) for m in prompts.CHEMISTRY_SYSTEMS)
+    "SELECT sample_id, family, mode, md5(system) AS system_md5, md5(usertext) AS user_md5 FROM ("
+    + " UNION ALL ".join(_prompt_sql(*one, mode) for one in _PROMPT_SETS for mode in one[2])
     + ")"
 )
 def generation_prompts(spark, sf_dir):
     docs, parts = _all_tasks(spark, sf_dir), []
-    for mode in prompts.CHEMISTRY_SYSTEMS:
-        user = records.instruction_prompt(F.col("task"), F.col("sample_id"), prompts.TASK_INSTRUCTIONS, mode != "oracle")
-        prompt = records.generation_prompt(user, mode, prompts.CHEMISTRY_SYSTEMS, F.col("lang"), prompts.CHEMISTRY_ORACLE)
-        parts.append(F.struct(F.lit(mode).alias("mode"), prompt.alias("prompt")))
+    for family, _, systems, oracle, _ in _PROMPT_SETS:
+        for mode in systems:
+            user = F.col("text")
+            if family == "chemistry":
+                user = records.instruction_prompt(F.col("task"), user, prompts.TASK_INSTRUCTIONS, mode != "oracle")
+            prompt = records.generation_prompt(user, mode, systems, F.col("lang"), oracle)
+            parts.append(F.struct(F.lit(family).alias("family"), F.lit(mode).alias("mode"), prompt.alias("prompt")))
     rows = docs.select("sample_id", F.inline(F.array(*parts)))
     at = lambda path: F.md5(F.get_json_object("prompt", path))
-    return rows.select("sample_id", "mode", at("$[0].content").alias("system_md5"), at("$[1].content[0].text").alias("user_md5"))
+    return rows.select("sample_id", "family", "mode", at("$[0].content").alias("system_md5"), at("$[1].content[0].text").alias("user_md5"))
 
 
 @query(

@@ -14,7 +14,7 @@ from retort.functions.extract import between_tags
 from retort.functions.text import words
 from retort.operators.records import keep_computed
 from retort.queries import duck
-from retort.queries.registry import spread, table
+from retort.queries.registry import table
 
 GENERATIONS = (1, 2, 3)
 
@@ -98,7 +98,7 @@ _BOOL_TASKS = (*K.BOOL_TASKS, "retrosynthesis")
 
 
 def bool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents")).withColumns(
+    docs = table(spark, sf_dir, "documents").withColumns(
         {
             "yn": _yn(),
             "activity": F.when(F.col("doc_id") % 3 == 0, "inactive").otherwise("active"),
@@ -164,7 +164,7 @@ _NUM_TASKS = (*K.NUM_TASKS, K.CAPTION_TASK)
 
 def num_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    docs = spread(table(spark, sf_dir, "documents")).withColumns(
+    docs = table(spark, sf_dir, "documents").withColumns(
         {
             "n1": (i % 37 - 18).cast("string"),
             "n2": (i % 11).cast("string"),
@@ -214,7 +214,7 @@ def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, h = (i % 13 + 1).cast("string"), (i % 7 + 2).cast("string")
     formula = F.concat(F.lit("C"), c, F.lit("H"), h, F.lit("O2"))
     name = F.concat(F.lit("2-Methyl"), (i % 9).cast("string"), F.lit("ol;Ethan-"), h, F.lit("-one"))
-    docs = spread(table(spark, sf_dir, "documents")).withColumn("task", _spot(_TEXT_TASKS)).withColumns(
+    docs = table(spark, sf_dir, "documents").withColumn("task", _spot(_TEXT_TASKS)).withColumns(
         {
             "f1": formula,
             "f2": F.concat(F.lit("H"), h, F.lit("O2 C"), c, F.lit(".")),
@@ -265,7 +265,7 @@ _CHAIN = ("CCO", "c1ccccc1", "CC(=O)O", "C[N+](C)(C)C", "[Na+].[Cl-]", "BrCCBr",
 
 
 def smiles_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents")).withColumns(
+    docs = table(spark, sf_dir, "documents").withColumns(
         {
             "task": _spot(_SMILES_TASKS),
             "mol": F.concat(_spot(_CHAIN), F.lit("."), _spot(_CHAIN[:3])),
@@ -300,7 +300,7 @@ _TRANSLATION_SHAPES = {
 
 def translation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores are given for every second record: a function of the text length."""
-    docs = spread(table(spark, sf_dir, "documents")).withColumn(
+    docs = table(spark, sf_dir, "documents").withColumn(
         "answer", F.replace(F.lower("text"), F.lit("\n"), F.lit(" "))
     )
     base = _records(docs, _TRANSLATION_SHAPES, ("", "")).drop("extracted_core_answer")
@@ -333,7 +333,7 @@ def token_records(spark: SparkSession, sf_dir: str, model: str = "m1") -> DataFr
     prefix = F.when(
         F.col("doc_id") % 2 == 0, F.array(*[F.lit(t) for t in K.EMPTY_THINK_TOKENS])
     ).otherwise(F.array().cast("array<string>"))
-    docs = spread(table(spark, sf_dir, "documents")).withColumn("token_strs", F.concat(prefix, words(F.col("text"))))
+    docs = table(spark, sf_dir, "documents").withColumn("token_strs", F.concat(prefix, words(F.col("text"))))
     ranks = F.transform(
         "token_strs", lambda w, i: (F.length(w) * factor + i * 7 + F.col("doc_id")) % span + 1
     )
@@ -345,7 +345,7 @@ def token_records(spark: SparkSession, sf_dir: str, model: str = "m1") -> DataFr
             "token_top1_hits": F.transform("token_ranks", lambda r: (r == 1).cast("double")),
         }
     )
-    return keep_computed(tokens, F.size("token_strs") > 0)
+    return tokens
 
 
 def tokens_sql(model: str = "m1", name: str = "t") -> str:
@@ -355,5 +355,5 @@ def tokens_sql(model: str = "m1", name: str = "t") -> str:
     return (
         f"{name}0 AS (SELECT *, list_concat(CASE WHEN doc_id % 2 = 0 THEN {prefix} ELSE [] END, {duck.words('text')}) AS strs FROM documents), "
         f"{name}1 AS (SELECT *, list_transform(strs, lambda w, i: (length(w) * {factor} + (i - 1) * 7 + doc_id) % {span} + 1) AS ranks FROM {name}0), "
-        f"{name} AS (SELECT *, 's' || doc_id AS sample_id, source AS task, list_transform(ranks, lambda r: 1.0::double / (r % 13 + 1)) AS probs FROM {name}1 WHERE len(strs) > 0)"
+        f"{name} AS (SELECT *, 's' || doc_id AS sample_id, source AS task, list_transform(ranks, lambda r: 1.0::double / (r % 13 + 1)) AS probs FROM {name}1)"
     )

@@ -27,12 +27,9 @@ def get_session(app_name: str = "retort", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the launcher set none (tests, local runs) is a new local folder made.
+    The launcher must set it; a folder of one machine would be missing on the others.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="retort-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")

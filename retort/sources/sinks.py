@@ -53,25 +53,31 @@ def write_directions(df: DataFrame, path: str, direction: str = "direction") ->
     write_jsonl(df.filter(F.col(direction).isNotNull()), path, [direction])
 
 
-def small_json_array(df: DataFrame, limit: int = 10_000) -> str:
-    """An indented JSON array of a sample; more than ``limit`` rows is an error."""
-    lines = df.select(json_line(df).alias("v")).limit(limit + 1).collect()
-    if len(lines) > limit:
-        raise ValueError(f"more than {limit} rows for one JSON array")
-    return json.dumps([json.loads(row["v"]) for row in lines], ensure_ascii=False, indent=2)
-
-
-def report_text(df: DataFrame, title: str, limit: int = 1000) -> str:
-    """A small statistics frame as text lines; more than ``limit`` rows is an error."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rows for one report")
+def write_json_array(df: DataFrame, path: str, by: str) -> None:
+    """One JSON array over the part files of a new folder, in the order of the unique column ``by``.
+
+    Executors write the parts; read one after the other they are the array.
+    """
+    first = df.agg(F.min(by).alias("m")).select("m").scalar()
+    lead = F.when(F.col(by) == first, F.lit("  ")).otherwise(F.lit(", "))
+    body = df.select(F.lit(1).alias("_place"), F.col(by).alias("_by"), F.concat(lead, json_line(df)).alias("value"))
+    frame = df.sparkSession.createDataFrame([(0, "["), (2, "]")], "_place int, value string")
+    frame = frame.select("_place", F.lit(None).cast(df.schema[by].dataType).alias("_by"), "value")
+    body.unionByName(frame).orderBy("_place", "_by").select("value").write.mode("errorifexists").text(path)
+
+
+def report_lines(df: DataFrame, title: str, by: list[str]) -> DataFrame:
+    """A statistics frame as text lines (column ``value``, in order), ready for ``write_lines``."""
     bar = "=" * 70
-    body = []
-    for row in rows:
-        cells = (f"{k}={v:.6f}" if isinstance(v, float) else f"{k}={v}" for k, v in row.asDict().items())
-        body.append("  " + "  ".join(cells))
-    return "\n".join([bar, title, bar, *body, bar]) + "\n"
+    cells = [
+        F.concat(F.lit(f"{c}="), F.format_string("%.6f", F.col(c)) if t == "double" else F.coalesce(F.col(c).cast("string"), F.lit("None")))
+        for c, t in df.dtypes
+    ]
+    order = F.struct(*by)
+    body = df.select(F.lit(1).alias("_place"), order.alias("_by"), F.concat(F.lit("  "), F.concat_ws("  ", *cells)).alias("value"))
+    frame = df.sparkSession.createDataFrame([(0, f"{bar}\n{title}\n{bar}"), (2, bar)], "_place int, value string")
+    frame = frame.select("_place", F.lit(None).cast(body.schema["_by"].dataType).alias("_by"), "value")
+    return body.unionByName(frame).orderBy("_place", "_by").select("value")
 
 
 def register_dataset(register: str, name: str, data_file: str) -> None:

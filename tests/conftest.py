@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 import pytest
 
@@ -15,6 +16,7 @@ def local_session():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "12g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="retort-tests-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -254,10 +254,13 @@ def test_sinks(spark, tmp_path):
     sinks.write_jsonl(spark.range(25).coalesce(1), str(tmp_path / "parts"), max_records=10)
     assert len(list((tmp_path / "parts").glob("*.txt"))) == 3
     sinks.write_sorted(df.withColumnRenamed("n", "sample_idx"), str(tmp_path / "sorted"))
-    assert json.loads(sinks.small_json_array(df.orderBy("task")))[1] == {"task": "d", "t": "x", "n": 1}
-    with pytest.raises(ValueError):
-        sinks.small_json_array(spark.range(3), limit=2)
-    assert "n=1" in sinks.report_text(df, "Report")
+    for name, frame in (("array", df.repartition(2)), ("none", df.limit(0))):
+        sinks.write_json_array(frame, str(tmp_path / name), "task")
+        parts = sorted((tmp_path / name).glob("part-*.txt"))
+        array = json.loads("".join(p.read_text(encoding="utf-8") for p in parts))
+        assert array == [{"task": "a/b c", "t": "é", "n": None}, {"task": "d", "t": "x", "n": 1}][: frame.count()]
+    lines = [r["value"] for r in sinks.report_lines(df, "Report", ["task"]).collect()]
+    assert "Report" in lines[0] and lines[1:3] == ["  task=a/b c  t=é  n=None", "  task=d  t=x  n=1"]
     register = str(tmp_path / "reg/info.json")
     for target in ("one.jsonl", "two.jsonl"):
         sinks.register_dataset(register, "set", target)
