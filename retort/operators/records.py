@@ -259,6 +259,13 @@ def direction_of_name(stem: Column) -> Column:
     return F.coalesce(*[F.when(F.regexp_like(name, F.lit(p)), F.lit(d)) for p, d in shapes])
 
 
+def language_of_name(stem: Column) -> Column:
+    """Language code out of an ``en2xx`` or ``xx2en`` file name (the last place that has one), else NULL."""
+    # Name patterns, in order.
+    patterns = (r"^.*en2([A-Za-z]{2,3})", r"^.*([A-Za-z]{2,3})2en")
+    return F.coalesce(*[F.nullif(F.regexp_extract(stem, p, 1), F.lit("")) for p in patterns])
+
+
 def language_pairs(df: DataFrame, langs: tuple[str, ...] = K.LOW_RESOURCE_LANGS) -> DataFrame:
     """Records between English and one of ``langs``, with the pair as ``en2xx``-style name."""
     source, target = F.col("src_lg"), F.col("trg_lg")

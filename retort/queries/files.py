@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from retort import schemas
+from retort.operators import records
 from retort.queries import views
 from retort.queries.registry import query, table
 from retort.session import shared_dir
@@ -47,6 +48,68 @@ def jsonl_bad_lines(spark, sf_dir):
     )
 
 
+@query(
+    "SELECT doc_id, md5('{' || source || '|' || text) AS line_md5, "
+    "1 + count(*) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS line_number "
+    "FROM documents QUALIFY doc_id % 7 = 3"
+)
+def bad_line_report(spark, sf_dir):
+    """Bad lines verbatim with their number in the file, one file per language."""
+    path = _fresh(spark, "report")
+    docs = table(spark, sf_dir, "documents")
+    line = F.to_json(F.struct("doc_id", "source", "text"))
+    broken = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("{"), line)).otherwise(line)
+    ordered = docs.select("lang", "doc_id", broken.alias("value")).repartition("lang").sortWithinPartitions("lang", "doc_id")
+    ordered.select("lang", "value").write.partitionBy("lang").text(path)
+    found = files.bad_lines(spark, path)
+    record = F.parse_json(F.substring("value", F.lit(2), F.length("value")))
+    at = lambda name, kind: F.variant_get(record, f"$.{name}", kind)
+    told = F.md5(F.concat(F.lit("{"), at("source", "string"), F.lit("|"), at("text", "string")))
+    return found.select(at("doc_id", "bigint").alias("doc_id"), told.alias("line_md5"), "line_number")
+
+
+@query(
+    "SELECT lang, count_if(doc_id % 7 <> 3)::bigint AS n_good, count_if(doc_id % 7 = 3)::bigint AS n_bad, count_if(doc_id % 7 = 3) > 0 AS failed FROM documents GROUP BY lang"
+)
+def file_outcomes(spark, sf_dir):
+    """A job over many files: good and bad lines of each, failures counted instead of raised."""
+    path = _fresh(spark, "outcomes")
+    docs = table(spark, sf_dir, "documents")
+    line = F.to_json(F.struct("doc_id", "text"))
+    broken = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("{"), line)).otherwise(line)
+    docs.select("lang", broken.alias("value")).repartition("lang").write.partitionBy("lang").text(path)
+    counts = files.file_outcomes(files.parsed_lines(files.read_lines(spark, path, recursive=True)))
+    lang = F.regexp_extract("file_path", "lang=([a-z]+)/", 1)
+    return counts.groupBy(lang.alias("lang")).agg(F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad"), F.bool_or("failed").alias("failed"))
+
+
+@query("SELECT doc_id, source, md5(text) AS text_md5 FROM documents")
+def json_array_round_trip(spark, sf_dir):
+    """Documents as one JSON array over part files, written by the executors and read again."""
+    path = _fresh(spark, "array")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sinks.write_json_array(docs, path, "doc_id")
+    lines = files.read_lines(spark, path).filter(~F.col("value").isin("[", "]"))
+    record = F.parse_json(F.substring("value", F.lit(3), F.length("value")))
+    at = lambda name, kind: F.variant_get(record, f"$.{name}", kind)
+    return lines.select(at("doc_id", "bigint").alias("doc_id"), at("source", "string").alias("source"), F.md5(at("text", "string")).alias("text_md5"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN lang END AS file_lang FROM documents"
+)
+def language_of_name(spark, sf_dir):
+    """Language code out of file names of both directions, and of names without one."""
+    docs, lang, k = table(spark, sf_dir, "documents"), F.col("lang"), F.col("doc_id") % 4
+    name = (
+        F.when(k == 0, F.concat(F.lit("part_en2"), lang, F.lit("_01")))
+        .when(k == 1, F.concat(F.lit("01-"), lang, F.lit("2en.out")))
+        .when(k == 2, F.concat(F.lit("en2"), lang))
+        .otherwise(F.concat(F.lit("plain_"), lang))
+    )
+    return docs.select("doc_id", records.language_of_name(name).alias("file_lang"))
+
+
 @query(views.TRANSLATION_SQL + f"SELECT sample_id, md5({'string_agg(gtext, chr(10) ORDER BY gen)'}) AS answers_md5 FROM g GROUP BY sample_id")
 def stream_resume(spark, sf_dir):
     """Requests arrive as files; a stream answers each once, a second run has nothing to do."""

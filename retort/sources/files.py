@@ -61,15 +61,16 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("record", F.try_parse_json("value"))
 
 
-def with_line_numbers(rows: DataFrame) -> DataFrame:
-    """Adds the 1-based number of each row in its file.
+def with_line_numbers(rows: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Adds the 1-based number of each row in its file, counted over ``every`` row of the input
+    where ``rows`` are some of them.
 
     Ids of a block are consecutive, so a block's first id and the lengths of the blocks
     before it are enough; no file is sorted. Where rows were dropped before, numbers still
     rise in file order but no longer count the dropped rows at block ends.
     """
     span = F.max("row_id") - F.min("row_id") + 1
-    blocks = rows.groupBy("file_path", "block_start").agg(
+    blocks = (rows if every is None else every).groupBy("file_path", "block_start").agg(
         span.alias("_n"), F.min("row_id").alias("_first")
     )
     earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,9 +83,16 @@ def with_line_numbers(rows: DataFrame) -> DataFrame:
 
 def bad_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """File, line number and text of every non-blank line that is not JSON."""
-    numbered = with_line_numbers(with_source(spark.read.text(paths)))
-    lines = keep_computed(numbered, strip(F.col("value")) != "")
-    return keep_computed(parsed_lines(lines), F.col("record").isNull()).select("file_path", "line_number", "value")
+    every = with_source(spark.read.text(paths))
+    lines = keep_computed(parsed_lines(every), (strip(F.col("value")) != "") & F.col("record").isNull())
+    return with_line_numbers(lines, every).select("file_path", "line_number", "value")
+
+
+def file_outcomes(lines: DataFrame) -> DataFrame:
+    """Good and bad lines per file, and whether the file failed (has bad ones), of parsed lines."""
+    good = F.count_if(F.col("record").isNotNull())
+    counts = lines.groupBy("file_path").agg(good.alias("n_good"), (F.count(F.lit(1)) - good).alias("n_bad"))
+    return counts.withColumn("failed", F.col("n_bad") > 0)
 
 
 def json_format(spark: SparkSession, path: str) -> str:
