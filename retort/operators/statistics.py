@@ -229,8 +229,11 @@ def equal_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     )
 
 
-def rank_cdf_curve(tokens: DataFrame, groups: list[str], points: int = 500) -> DataFrame:
-    """Share of tokens at or below log-spaced ranks up to the 99.5th percentile (100 at least)."""
+def rank_cdf_curve(tokens: DataFrame, groups: list[str], points: int = 500, common: bool = False) -> DataFrame:
+    """Share of tokens at or below log-spaced ranks up to the 99.5th percentile (100 at least).
+
+    ``common`` gives all groups the grid of the largest percentile, so that curves share points.
+    """
     if not groups:
         return rank_cdf_curve(tokens.withColumn("_all", F.lit(0)), ["_all"], points).drop("_all")
     ranked = bounded_counts(tokens, groups, "rank")
@@ -241,6 +244,8 @@ def rank_cdf_curve(tokens: DataFrame, groups: list[str], points: int = 500) -> D
         .select(*groups, "n_values", *results)
         .withColumn("_top", F.greatest(F.floor("_p"), F.lit(100)) + 1)
     )
+    if common:  # one row per group
+        top = top.withColumn("_top", F.max("_top").over(Window.partitionBy(F.lit(0))))
     grid = top.select(
         *groups,
         "n_values",

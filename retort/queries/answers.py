@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from retort import constants as K
+from retort import schemas
 from retort.functions import extract, scoring, think
 from retort.operators.records import explode_generations
 from retort.plans import analysis, answers
 from retort.queries import duck, views
 from retort.queries.registry import query
+from retort.session import shared_dir
+from retort.sources import files, sinks
 
 
 def _per_generation(df: DataFrame) -> DataFrame:
@@ -320,8 +326,12 @@ def _length_score(texts: Column, truth: Column) -> Column:
     "coalesce(max(cs) FILTER (task = 'molecule_captioning'), 0.0) AS max_score, coalesce(min(cs) FILTER (task = 'molecule_captioning'), 0.0) AS min_score FROM c GROUP BY task"
 )
 def rethreshold_report(spark, sf_dir):
-    """Captions judged at 0.6, then again at 0.3 from the stored scores."""
-    done = answers.answer_captions(_captions(spark, sf_dir), _length_score, 0.6)
+    """Captions judged at 0.6 and written, then read and judged again at 0.3 by the stored scores."""
+    path = f"{shared_dir(spark)}/captions-{uuid.uuid4().hex}"
+    judged = answers.answer_captions(_captions(spark, sf_dir), _length_score, 0.6)
+    kept = [f for f in StructType.fromDDL(schemas.INFERENCE).names if f in judged.columns and f != "prompt"]
+    sinks.write_jsonl(judged.select(*kept), path)
+    done = files.read_jsonl(spark, path, schemas.INFERENCE)
     return _rounded(answers.caption_report(answers.rethreshold(done, 0.3), ["task"]))
 
 

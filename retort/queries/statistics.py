@@ -252,6 +252,22 @@ def rank_cdf_curve(spark, sf_dir):
     return _rounded(st.rank_cdf_curve(tokens, []))
 
 
+@query(
+    f"WITH {views.tokens_sql('m1', 't')}, {views.tokens_sql('m2', 'u')}, "
+    "x AS (SELECT 'm1' AS model, unnest(ranks) AS rank FROM t UNION ALL SELECT 'm2', unnest(ranks) FROM u), "
+    "c AS (SELECT model, rank, count(*) AS k FROM x GROUP BY model, rank), n AS (SELECT model, count(*) AS total FROM x GROUP BY model), "
+    "q AS (SELECT max(top) AS top FROM (SELECT greatest(floor(quantile_cont(rank, 0.995)), 100) + 1 AS top FROM x GROUP BY model)), "
+    "g AS (SELECT model, total, point, pow(top::double, point / 499.0::double) AS rank_at FROM n, q, (SELECT unnest(range(500)) AS point)) "
+    "SELECT g.model, point::int AS point, round(rank_at, 6) AS rank_at, round(coalesce(sum(k) FILTER (rank <= rank_at * (1 + 1e-9)), 0) / any_value(total), 6) AS cdf FROM g JOIN c ON c.model = g.model GROUP BY g.model, point, rank_at"
+)
+def rank_cdf_two_models(spark, sf_dir):
+    """Both models' curves over one grid."""
+    both = [
+        analysis.exploded_tokens(views.token_records(spark, sf_dir, m), "task").select(F.lit(m).alias("model"), "rank") for m in ("m1", "m2")
+    ]
+    return _rounded(st.rank_cdf_curve(both[0].unionByName(both[1]), ["model"], common=True))
+
+
 _TWO = (
     f"WITH {views.tokens_sql('m1', 't')}, {_SAMPLE}, {views.tokens_sql('m2', 'u')}, "
     + _SAMPLE.replace("sm AS", "sn AS").replace("FROM t)", "FROM u)")

@@ -20,7 +20,8 @@ CHAT = (
 INFERENCE = (
     "task STRING, sample_idx INT, sample_id STRING, input STRING, ground_truth STRING, "
     f"prompt VARIANT, generated {_TEXTS}, extracted_core_answer {_TEXTS}, "
-    f"extracted_core_answer_correctness MAP<STRING, BOOLEAN>, {_TAGS}"
+    f"extracted_core_answer_correctness MAP<STRING, BOOLEAN>, extraction_strategy {_TEXTS}, "
+    f"caption_score {_SCORES}, {_TAGS}"
 )
 TRANSLATION_SOURCE = f"{_MESSAGES}, src_lg STRING, trg_lg STRING"
 TRANSLATION_REQUEST = "uuid STRING, user_content STRING, gold_answer STRING"
