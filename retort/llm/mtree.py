@@ -25,7 +25,7 @@ MAX_PIVOTS = 1024
 ROWS_PER_PIVOT = 4096
 ROWS_PER_TREE = 8192
 QUERIES_PER_BLOCK = 2048
-PAGE = 64
+PAGE = 256
 #: Relative allowance for rounding in the distances; scores themselves are exact.
 SLACK = 1e-9
 
@@ -136,13 +136,14 @@ class _Best:
         least = self.least()
         return np.inf if least == -np.inf else float(np.sqrt(max(0.0, self.base - 2 * least)))
 
-    def offer(self, scores: np.ndarray, ids: list) -> None:
-        least = self.least()
-        for score, own in zip(scores.tolist(), ids, strict=True):
-            if score >= least:
-                self.found.extend((-score, i) for i in own if i != self.own)
-        self.found.sort()
-        del self.found[self.k :]
+    def offer(self, scores: np.ndarray, rows: np.ndarray, ids: list) -> None:
+        """Take the rows that are good enough; ``ids``: the identifiers of each row of the tree."""
+        good = np.flatnonzero(scores >= self.least())
+        if len(good):
+            for at in good:
+                self.found.extend((-int(scores[at]), i) for i in ids[rows[at]] if i != self.own)
+            self.found.sort()
+            del self.found[self.k :]
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -254,7 +255,7 @@ def _search(spark, points: DataFrame, asked: DataFrame, n: int, longest: float,
                 data = np.load(io.BytesIO(tree))
                 for name in ("order", "center", "radius", "above", "first", "last", "leaf", "entry_above", "points"):
                     setattr(t, name, data[name])
-                vectors, ids = data["vectors"], np.split(data["ids"], data["ends"][:-1])
+                vectors, ids = data["vectors"], [i.tolist() for i in np.split(data["ids"], data["ends"][:-1])]
                 # exact in floating point as long as no sum can pass 2**53
                 top = float(np.abs(vectors).max())
                 out = []
@@ -263,7 +264,7 @@ def _search(spark, points: DataFrame, asked: DataFrame, n: int, longest: float,
                     exact = top * float(np.abs(q).max()) * len(q) < 2**53
                     best = _Best(q, query["id"], k, longest, query["least"])
                     left, right = (t.points[:, :-1], q.astype(np.float64)) if exact else (vectors, q)
-                    t.search(q, best.reach, lambda r, b=best, x=left, y=right: b.offer((x[r] @ y).astype(np.int64), [ids[i].tolist() for i in r]))
+                    t.search(q, best.reach, lambda r, b=best, x=left, y=right: b.offer((x[r] @ y).astype(np.int64), r, ids))
                     out.extend((query["id"], i, -s) for s, i in best.found)
                 yield pd.DataFrame(out, columns=["query_id", "id", "score"])
 
