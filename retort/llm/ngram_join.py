@@ -13,9 +13,9 @@ a count sketch first; it need not be exact, only the same everywhere.
   all documents, is least.
 
 Equal sets are one class first. A list may be long (copies, common passages), so not all its pairs
-are made: each class is first compared with the leads of its lists, one per list, and only pairs of
-classes that are in different components by then are made and counted, exactly, with further
-rounds of leads as long as these pairs are too many. Every candidate is verified on the full sets.
+are made: in each of two rounds, classes are compared with the leads of their lists, one per list,
+and after that only pairs of classes that are in different components by then are made and counted,
+exactly. Every candidate is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -27,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm.text import Words, mix, pieces, saved, signed
+from retort.llm.text import Words, mix, pieces, saved, signed, small_batches
 
 NGRAM = 5
 PERCENT = 80
 
 #: Cells of the count sketch: fixed, as only the order of shingles and costs come from it.
 CELLS = 1 << 18
-#: Pairs per list entry above which another round of leads is worth its passes.
-PAIRS_PER_ENTRY = 8
-MAX_ROUNDS = 4
+WANTED_CELLS = 1 << 20
+#: Rounds of leads before all pairs, the same at every size.
+LEAD_ROUNDS = 2
 
 
 def need(n, percent: int):
@@ -150,7 +150,10 @@ def boundary(rows: DataFrame, percent: int) -> int:
 
 
 def _entries(docs: DataFrame, order: _Order, light: int, ngram: int, percent: int) -> DataFrame:
-    """(key, sid, n): keys of light pairs and heavy lists."""
+    """(key, sid, n, place): keys of light pairs and heavy lists.
+
+    ``place``: that of the shingle in the order, for pairs that of the later one, less one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(order)
     least = 100 // (100 - percent) if percent < 100 else 1 << 60
     joins_heavy = need(light + 1, percent)
@@ -160,7 +163,7 @@ def _entries(docs: DataFrame, order: _Order, light: int, ngram: int, percent: in
         for batch in batches:
             for piece in pieces(batch, "text"):
                 sets = _Sets(piece.column("text"), ngram)
-                keys, owners = [], []
+                keys, owners, places = [], [], []
                 for i in sets.new(seen):
                     s, n = sets.sets[i], int(sets.sizes[i])
                     if n < least - 1:  # different sets share 4 shingles (at 80 %) at least
@@ -171,26 +174,35 @@ def _entries(docs: DataFrame, order: _Order, light: int, ngram: int, percent: in
                         a, b = np.triu_indices(len(first), 1)
                         keys.append(mix(mix(first[a], 0x9216D5D98979FB1B) + first[b]))
                         owners.append(np.full(len(a), i))
+                        places.append(b - 1)
                     if n > light or n >= joins_heavy:
                         keys.append(mix(first[:size], 0xD1310BA698DFB5AC))
                         owners.append(np.full(size, i))
+                        places.append(np.arange(size))
                 if keys:
-                    owner = np.concatenate(owners)
-                    columns = [signed(np.concatenate(keys)), pa.array(sets.ids[owner]), pa.array(sets.sizes[owner].astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "sid", "n"])
+                    owner, place = np.concatenate(owners), np.concatenate(places).astype(np.int32)
+                    columns = [signed(np.concatenate(keys)), pa.array(sets.ids[owner]), pa.array(sets.sizes[owner].astype(np.int32)), pa.array(place)]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "sid", "n", "place"])
 
-    return docs.select("text").mapInArrow(run, "key long, sid long, n int")
+    return docs.select("text").mapInArrow(run, "key long, sid long, n int, place int")
 
 
 def _with_sets(docs: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
-    """(sid, shingles): the sets of the classes in ``ids``, as sorted 64-bit hashes."""
+    """(sid, shingles): the sets of the classes in ``ids``, as sorted 64-bit hashes.
+
+    A bitmap of fixed size keeps most other texts out of the shuffle; the join decides.
+    """
+    cells = ids.select(F.pmod("sid", F.lit(WANTED_CELLS)).alias("cell")).distinct().toPandas()["cell"]  # WANTED_CELLS rows at most
+    wanted = np.zeros(WANTED_CELLS, bool)
+    wanted[cells.to_numpy(np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 sets = _Sets(piece.column("text"), ngram)
-                new = sets.new(seen)
+                new = [i for i in sets.new(seen) if shared.value[sets.ids[i] % WANTED_CELLS]]
                 yield pa.RecordBatch.from_arrays([pa.array(sets.ids[new]), piece.column("text").take(pa.array(new, pa.int64()))], ["sid", "text"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,15 +258,29 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(edges.select("v", "v").distinct())
 
 
-def _enough(n, m, count, percent: int):
-    """Whether sets of sizes n and m with ``count`` shared list entries can still link."""
-    overlap = F.ceil((n + m) * percent / F.lit(100 + percent))
-    prefix = lambda k: k - F.ceil(k * percent / F.lit(100)) + 1
-    return count >= F.least(prefix(n) - (n - overlap), prefix(m) - (m - overlap))
+def _overlap(percent: int):
+    """Shingles that linked sets of sizes n and n_b share at least."""
+    return F.ceil((F.col("n") + F.col("n_b")) * percent / F.lit(100 + percent))
+
 
+def _more(light: int, percent: int):
+    """Keys beyond the first that two sets must share where that many more places are looked at.
 
-def _alike(n, m, percent: int):
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
+    Each further place costs entries to join, and each further key spares sets to compare; a
+    32nd of the set is taken, as far as the lists go. Light pairs of shingles are looked at once.
+    """
+    spare = [_overlap(percent) - F.ceil(F.col(n) * percent / F.lit(100)) for n in ("n", "n_b")]
+    more = F.least(*spare, F.floor(F.least("n", "n_b") / 32))
+    return F.when((F.col("n") <= light) & (F.col("n_b") <= light), F.lit(0).cast("long")).otherwise(F.greatest(more, F.lit(0).cast("long")))
+
+
+def _may_link(light: int, percent: int):
+    """Whether a key that two entries share is among those by which their sets must meet.
+
+    Sets that link share at least k + 1 of the first places of both that leave ``_overlap`` less k.
+    """
+    least = _overlap(percent) - _more(light, percent)
+    return (F.col("n") - F.col("place") >= least) & (F.col("n_b") - F.col("place_b") >= least)
 
 
 def set_components(docs: DataFrame, order: _Order, light: int, ngram: int, percent: int) -> DataFrame:
@@ -262,34 +288,28 @@ def set_components(docs: DataFrame, order: _Order, light: int, ngram: int, perce
     spark: SparkSession = docs.sparkSession
     entries = saved(_entries(docs, order, light, ngram, percent), "join-entries")
     lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    live = entries.join(lists, "key", "left_semi").distinct().withColumn("root", F.col("sid"))
+    # aggregates are written before they are joined, so that the join can be split at a hot key
+    live = entries.join(saved(lists, "join-lists"), "key", "left_semi").distinct().withColumn("root", F.col("sid"))
     live = saved(live, "join-live")
     links = spark.createDataFrame([], "a long, b long")
 
-    for turn in range(MAX_ROUNDS + 1):
+    for turn in range(LEAD_ROUNDS + 1):
         per_root = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-        per_key = per_root.groupBy("key").agg(
-            F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count(F.lit(1)).alias("roots")
-        ).filter("roots > 1")
-        live = saved(live.join(per_key.select("key", ((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs"), "m"), "key"), "join-live")
-        total = live.agg(F.sum(F.col("pairs") / F.col("m")), F.count(F.lit(1))).first()
-        live = live.drop("pairs", "m")
-        if not total[1]:
-            break
-        last = turn == MAX_ROUNDS or (turn > 0 and total[0] <= PAIRS_PER_ENTRY * total[1])
-        other = live.select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+        per_key = per_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key")
+        live = saved(live.join(saved(per_key, "join-lists"), "key", "left_semi"), "join-live")
+        last = turn == LEAD_ROUNDS
+        other = live.select("key", *[F.col(c).alias(to) for c, to in (("sid", "b"), ("n", "n_b"), ("place", "place_b"), ("root", "root_b"))])
         if not last:
             # the lead of a list: its first class by an order that changes from round to round
-            lead = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")))
-            other = live.groupBy("key").agg(lead.alias("lead")).select("key", "lead.b", "lead.n_b", "lead.root_b")
-        pairs = live.join(other, "key").filter((F.col("root") != F.col("root_b")) & _alike(F.col("n"), F.col("n_b"), percent))
+            lead = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("root").alias("root_b")))
+            other = live.groupBy("key").agg(lead.alias("lead")).select("key", "lead.b", "lead.n_b", "lead.place_b", "lead.root_b")
+            other = saved(other, "join-leads")
+        pairs = live.join(other, "key").filter((F.col("root") != F.col("root_b")) & _may_link(light, percent))
         if last:
             pairs = pairs.filter("sid < b")
-        pairs = pairs.groupBy(F.col("sid").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("n_b").alias("n_b"))
+        pairs = pairs.groupBy(F.col("sid").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("n_b").alias("n_b"))
         if last:
-            # light pairs of shingles are each one key: a single one is enough there
-            light_pair = (F.col("n") <= light) & (F.col("n_b") <= light)
-            pairs = pairs.filter(light_pair | _enough(F.col("n"), F.col("n_b"), F.col("c"), percent)).select("a", "b")
+            pairs = pairs.filter(F.col("c") > _more(light, percent)).select("a", "b")
         else:
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
         found = saved(_links(saved(pairs, "join-pairs"), docs, ngram, percent), "join-links")
@@ -311,10 +331,11 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     link. An empty table gives an empty result; other columns are not read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = _Order(_sketch(docs, ngram))
-    rows = saved(_rows(docs, order, ngram, percent), "join-rows")
-    light = boundary(rows, percent)
-    roots = set_components(docs, order, light, ngram, percent)
+    with small_batches(docs.sparkSession):
+        order = _Order(_sketch(docs, ngram))
+        rows = saved(_rows(docs, order, ngram, percent), "join-rows")
+        light = boundary(rows, percent)
+        roots = saved(set_components(docs, order, light, ngram, percent), "join-roots")
     rows = rows.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select(

@@ -8,6 +8,7 @@ and finished by a mixing step. They depend on the words only, never on partition
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text worked on at once (a longer single text is one piece).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -67,16 +68,19 @@ def _span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: i
 
 
 class Words:
-    """The words of a run of texts: their hashes, and for each text the range of its words."""
+    """The words of a run of texts: their hashes, and for each text the range of its words.
 
-    def __init__(self, texts: pa.Array, lower: bool = False, hashes: bool = True):
+    ``separates``: the bytes between words, white space if not given.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False, separates: np.ndarray = _IS_SPACE):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         size = int(offsets[-1] - offsets[0])
         data = texts.buffers()[2]
         self.bytes = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if size else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        solid = ~_IS_SPACE[self.bytes]
+        solid = ~separates[self.bytes]
         before = np.zeros(size + 1, bool)
         before[1:] = solid
         before[offsets] = False  # a word never runs over the end of its text
@@ -87,9 +91,8 @@ class Words:
         self.ends = np.flatnonzero(solid & ~after[1:]) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.bounds)
-        if hashes:
-            codes = (_LOWER_CODES if lower else _CODES)[self.bytes]
-            self.hashes = mix(_span_hash(codes, self.starts, self.ends, _BYTE_STEP), 0x243F6A8885A308D3)
+        codes = (_LOWER_CODES if lower else _CODES)[self.bytes]
+        self.hashes = mix(_span_hash(codes, self.starts, self.ends, _BYTE_STEP), 0x243F6A8885A308D3)
 
     def windows(self, size: int, which: int = 0) -> np.ndarray:
         """Hash of the ``size`` words from each word on; the caller leaves out those over a text's end."""
@@ -140,6 +143,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most so many rows in what runs meanwhile, for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     import uuid
 

@@ -185,8 +185,9 @@ def test_ngram_join(spark, monkeypatch, light):
     assert found == brute_join([r[:2] for r in rows])
 
 
-def test_ngram_join_in_rounds(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_ENTRY", 0)
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_ngram_join_in_rounds(spark, monkeypatch, rounds):
+    monkeypatch.setattr(ngram_join, "LEAD_ROUNDS", rounds)
     rows = near_rows(9)
     assert rows_of(ngram_join.near_duplicates(odd(spark, rows)), "doc_id", "n_shingles", "component_id") == brute_join([r[:2] for r in rows])
 
@@ -379,8 +380,8 @@ def test_mtree_rules_out_distances():
     vectors = np.unique((draw.standard_normal((20, 8)) * 400).astype(np.int64).repeat(100, 0) + draw.integers(-9, 9, (2000, 8)), axis=0)
     longest = float((vectors.astype(float) ** 2).sum(1).max())
     tree, query = mtree.Tree(vectors, longest), vectors[3]
-    best = mtree._Best(query, -1, 5, longest, None)
-    computed = tree.search(query, best.reach, lambda r: best.offer(vectors[r] @ query, [[int(i)] for i in r]))
+    best, ids = mtree._Best(query, -1, 5, longest, None), [[i] for i in range(len(vectors))]
+    computed = tree.search(query, best.reach, lambda r: best.offer(vectors[r] @ query, r, ids))
     exact_scores = sorted(((-int(s), i) for i, s in enumerate(vectors @ query)))[:5]
     assert best.found == exact_scores and computed < len(vectors) / 2
 
