@@ -101,4 +101,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.col("head") & F.col("to_part").isNull()).alias("kept"),
     )
     groups = rows.groupBy("part", "run").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, ["part", "run"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    # written first, so that the join can be split where a group is large
+    return rows.join(saved(groups, "exact-groups"), ["part", "run"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

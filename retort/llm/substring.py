@@ -192,9 +192,13 @@ def _kept_rows(size: int):
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key occurs more than once."""
+    """Rows whose key occurs more than once.
+
+    The keys are written first: a join of two plain shuffles can be split where a key is hot, one
+    that shares its shuffle with the aggregation can not.
+    """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return rows.join(counts, keys, "left_semi")
+    return rows.join(saved(counts, "passages-keys"), keys, "left_semi")
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
