@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from retort.llm.text import pieces
 
 #: Bounds of what one worker keeps: states of a transducer, pairs of tokens, words with output.
-MAX_STATES = 160_000
-MAX_PAIRS = 300_000
-MAX_WORDS = 250_000
+MAX_STATES = 200_000
+MAX_PAIRS = 400_000
+MAX_WORDS = 350_000
 
 #: The characters with Unicode's White_Space property.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
@@ -310,10 +310,6 @@ class Codec:
             self.words[word] = found
         return found
 
-    def forget_words(self) -> None:
-        """Let go of the words met, which may be many; states and pairs stay."""
-        self.words, self.earlier = {}, {}
-
     def decimal(self, ids: list[int]) -> bytes:
         """The ids in decimal, joined by one space."""
         digits = self.digits[np.array(ids, np.int64)].reshape(-1)
@@ -356,7 +352,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             for piece in pieces(batch, "text"):
                 ids = [own.encode(t) if t else [] for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-        own.forget_words()
 
     return rows.mapInArrow(encode, f"doc_id {id_type}, ids array<int>")
 
@@ -398,6 +393,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     [piece.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
-        own.forget_words()
 
     return rows.mapInArrow(trip, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
