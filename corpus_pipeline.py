@@ -19,14 +19,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: that with the smallest identifier."""
-    rows = _numbered(docs)
+    rows = saved(_numbered(docs), "pipeline-rows")
     kept = exact.exact_groups(rows, id_col="_row").filter("kept").select(F.col("doc_id").alias("_row"))
     return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: that with the smallest identifier."""
-    rows = _numbered(docs)
+    rows = saved(_numbered(docs), "pipeline-rows")
     found = ngram_join.near_duplicates(rows, id_col="_row")
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"))
     return rows.join(kept, "_row", "left_semi").select(docs.columns)
@@ -48,8 +48,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
     """The rows, each with a key of its own that follows the identifiers' order, nulls last.
 
     Identifiers may be null or repeated; the key makes one row of a group the one that stays: that
-    with the smallest identifier, and of those that share it the first in the files. ``docs`` is
-    read from files, whose splits number the rows alike every time.
+    with the smallest identifier, and of those that share it the first in the files. The key follows
+    the splits of one scan, which another scan need not repeat: write the rows before using it twice.
     """
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.monotonically_increasing_id().alias("row"))
     return docs.withColumn("_row", key)

@@ -499,3 +499,30 @@ def test_pipeline_stages(spark):
         assert abs(taken[source] - target) <= largest[source] / 2 + 1
     last = corpus_pipeline.STAGES[-1][1](spark, mixed, SMALL)
     assert last.count() == mixed.count()
+
+
+def test_pipeline_rows_are_numbered_once(spark, tmp_path, monkeypatch):
+    """Splits that change between an operator's scan and the join with its result lose no row."""
+    path, key = str(tmp_path / "rows"), "spark.sql.files.minPartitionNum"
+    rows = [(i % 7 or None, f"text {i // 2} of its own with words w{i // 2} v{i // 2}", "a") for i in range(64)]
+    spark.createDataFrame(rows, SCHEMA).repartition(8).write.parquet(path)
+    docs = spark.read.parquet(path)
+
+    def resplit(operator):
+        def run(*args, **options):
+            found = operator(*args, **options)
+            spark.conf.set(key, "1")
+            return found
+
+        return run
+
+    monkeypatch.setattr(exact, "exact_groups", resplit(exact.exact_groups))
+    monkeypatch.setattr(ngram_join, "near_duplicates", resplit(ngram_join.near_duplicates))
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        spark.conf.set(key, "8")
+        try:
+            assert docs.rdd.getNumPartitions() > 1
+            kept = stage(spark, docs, SMALL)
+            assert sorted(r["text"] for r in kept.collect()) == sorted({r[1] for r in rows})
+        finally:
+            spark.conf.unset(key)
