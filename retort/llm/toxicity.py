@@ -1,7 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Each word is a vector of two learned inputs: a word embedding and the mean of the embeddings of the
-character n-grams at the beginning of the word (both hashed into tables of fixed size). A forward
+Each word is a vector of two learned inputs: a word embedding and the mean of the embeddings of its
+character n-grams (both hashed into tables of fixed size). A long word, as a clause in a script
+without spaces is, goes in as overlapping parts with n-grams of their own, so that each part counts
+as much as a short word. A forward
 and a backward GRU run over windows of words, every window half over the next, so that all of a
 text is scored; attention pools a window's states, and a text has the score of its worst window.
 Training sees a text's label only: in every step the window that scores highest stands for its
@@ -26,9 +28,12 @@ WINDOW, STRIDE = 32, 16
 WORD_CELLS, GRAM_CELLS = 1 << 18, 1 << 17
 WORD_DIM = GRAM_DIM = 6
 HIDDEN, ATTENTION = 8, 8
-#: Bytes of a word, with the mark of its beginning, that make n-grams.
-HEAD = 9
 GRAMS = (4, 5)
+#: Bytes of a part of a word, with the mark of the word's beginning, and those of the next part that
+#: it holds too: no n-gram is between parts.
+PART, OVERLAP = 16, max(GRAMS) - 1
+#: N-grams whose vectors are looked up at once.
+LOOKED_UP = 1 << 18
 
 #: Labelled rows of each label that training may take, in an order by hash.
 MAX_PER_LABEL = 2500
@@ -45,31 +50,51 @@ _SEPARATES = np.ones(256, bool)
 _SEPARATES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def _spread(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of all entries of some rows, where row i has those from at[i] up to at[i + 1]."""
+    sizes = at[rows + 1] - at[rows]
+    return np.arange(sizes.sum()) + np.repeat(at[rows] - np.cumsum(sizes) + sizes, sizes)
+
+
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(sizes)).astype(np.int64)
+
+
 class _Input:
-    """Distinct words of a run of texts, as table cells, and the windows over each text's words."""
+    """Parts of the distinct words of a run of texts, as table cells, and the windows over each text's words.
+
+    ``grams`` has the n-grams of all parts, those of part i from at[i] up to at[i + 1].
+    """
 
     def __init__(self, texts: pa.Array):
         words = Words(texts, lower=True, separates=_SEPARATES)
-        hashes, first, self.word = np.unique(words.hashes, return_index=True, return_inverse=True)
-        self.cell = (mix(hashes, 0xB8E1AFED6A267E96) >> np.uint64(40)).astype(np.int64) % WORD_CELLS
-        start, size = words.starts[first], np.minimum(words.ends[first] - words.starts[first], HEAD - 1)
-        head = np.zeros((len(first), HEAD), np.uint64)
-        head[:, 0] = 1
-        if len(words.bytes):
-            at = np.minimum(start[:, None] + np.arange(HEAD - 1), len(words.bytes) - 1)
-            head[:, 1:] = np.where(np.arange(HEAD - 1) < size[:, None], _LOWER[words.bytes[at]], 0)
-        grams, there = [], []
-        for n in GRAMS:
-            value = np.zeros((len(first), HEAD - n + 1), np.uint64)
+        hashes, first, word = np.unique(words.hashes, return_index=True, return_inverse=True)
+        size = words.ends[first] - words.starts[first] + 1  # with the mark of the beginning
+        parts = np.maximum(1, -(-(size - OVERLAP) // (PART - OVERLAP)))
+        part_at = _bounds(parts)
+        self.cell = np.repeat((mix(hashes, 0xB8E1AFED6A267E96) >> np.uint64(40)).astype(np.int64) % WORD_CELLS, parts)
+        skip = (np.arange(part_at[-1]) - np.repeat(part_at[:-1], parts)) * (PART - OVERLAP)
+        held = np.minimum(np.repeat(size, parts) - skip, PART)
+        room = np.maximum(held, min(GRAMS))  # the shortest words have one
+        byte_at = _bounds(room)
+        place = np.arange(byte_at[-1]) - np.repeat(byte_at[:-1], room)
+        left = np.repeat(room, room) - place
+        at = np.repeat(words.starts[first].repeat(parts) + skip - 1, room) + place
+        value = _LOWER[words.bytes[np.clip(at, 0, len(words.bytes) - 1)]] if len(at) else np.zeros(0, np.uint64)
+        value[np.repeat(held, room) <= place] = 0
+        value[byte_at[:-1][skip == 0]] = 1
+        value = np.append(value, np.zeros(max(GRAMS), np.uint64))
+        cells = np.zeros((len(at), len(GRAMS)), np.int64)
+        for i, n in enumerate(GRAMS):
+            gram = np.zeros(len(at), np.uint64)
             for k in range(n):
-                value = value * np.uint64(257) + head[:, k : HEAD - n + 1 + k]
-            grams.append((mix(value, n) >> np.uint64(40)).astype(np.int64) % GRAM_CELLS)
-            there.append(np.arange(HEAD - n + 1) + n <= size[:, None] + 1)
-        self.grams, there = np.concatenate(grams, 1), np.concatenate(there, 1)
-        there[:, 0] = True  # the shortest words have one
-        self.share = (there / there.sum(1, keepdims=True)).astype(np.float32)
+                gram = gram * np.uint64(257) + value[k : k + len(at)]
+            cells[:, i] = (mix(gram, n) >> np.uint64(40)).astype(np.int64) % GRAM_CELLS
+        self.grams = cells[left[:, None] >= np.array(GRAMS)]
+        self.at = _bounds(sum(np.maximum(room - n + 1, 0) for n in GRAMS))
+        self.word, bounds = _spread(part_at, word), _bounds(parts[word])[words.bounds]
         starts, owner, ends = [], [], []
-        for i, (a, b) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)):
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             if b > a:
                 own = np.arange(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)
                 if b - a > WINDOW:
@@ -85,10 +110,10 @@ class _Input:
         self.n = len(texts)
 
 
-    def subset(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """cell, grams, share of the words in some windows, and these windows over them, and masks."""
-        words, windows = np.unique(self.windows[rows], return_inverse=True)
-        return self.cell[words], self.grams[words], self.share[words], windows.reshape(-1, WINDOW), self.mask[rows]
+def _subset(x, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """cell, grams and their number of the words in some windows, and these windows over them, and masks."""
+    words, windows = np.unique(x.windows[rows], return_inverse=True)
+    return x.cell[words], x.grams[_spread(x.at, words)], np.diff(x.at)[words], windows.reshape(-1, WINDOW), x.mask[rows]
 
 
 class _Chosen:
@@ -96,7 +121,8 @@ class _Chosen:
 
     def __init__(self, parts: list, owner: np.ndarray):
         at = np.cumsum([0, *[len(p[0]) for p in parts]])
-        self.cell, self.grams, self.share = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        self.cell, self.grams, sizes = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        self.at = _bounds(sizes)
         self.windows = np.concatenate([p[3] + a for p, a in zip(parts, at, strict=False)])
         self.mask, self.owner = np.concatenate([p[4] for p in parts]), owner
 
@@ -121,8 +147,13 @@ def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
 
 def inputs(w: dict, x) -> np.ndarray:
     """A vector per distinct word."""
-    grams = np.einsum("ug,ugd->ud", x.share, w["grams"][x.grams])
-    return np.concatenate([w["words"][x.cell], grams], 1)
+    sizes, sums = np.diff(x.at), np.zeros((len(x.cell), GRAM_DIM), w["grams"].dtype)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    for a in range(0, len(owner), LOOKED_UP):
+        own = owner[a : a + LOOKED_UP]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        sums[own[first]] += np.add.reduceat(w["grams"][x.grams[a : a + LOOKED_UP]], first)
+    return np.concatenate([w["words"][x.cell], sums / sizes[:, None].astype(sums.dtype)], 1)
 
 
 def _run(w: dict, vectors: np.ndarray, windows: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
@@ -188,9 +219,10 @@ def backward(w: dict, x, vectors: np.ndarray, windows: np.ndarray, mask: np.ndar
             np.add.at(d_vectors, at, d_x @ w[f"x{d}"].T)
             d_h = d_h * z + d_rec @ w[f"h{d}"].T
     found = {name: (slice(None), g) for name, g in grads.items()}
+    sizes = np.diff(x.at)
     for name, cells, d_rows in (
         ("words", x.cell, d_vectors[:, :WORD_DIM]),
-        ("grams", x.grams, x.share[:, :, None] * d_vectors[:, None, WORD_DIM:]),
+        ("grams", x.grams, np.repeat(d_vectors[:, WORD_DIM:] / sizes[:, None], sizes, axis=0)),
     ):
         own, place = np.unique(cells, return_inverse=True)
         g = np.zeros((len(own), w[name].shape[1]), np.float32)
@@ -224,7 +256,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, passes: in
         for i, label in enumerate(labels[b].astype(int)):
             own = np.unique(x.windows[x.owner == i][x.mask[x.owner == i]])
             seen["words"][label][np.unique(x.cell[own])] += 1
-            seen["grams"][label][np.unique(x.grams[own][x.share[own] > 0])] += 1
+            seen["grams"][label][np.unique(x.grams[_spread(x.at, own)])] += 1
     sizes = np.array([(labels == 0).sum(), (labels == 1).sum()], np.float64)
     usable = {}
     for name, counts in seen.items():
@@ -250,15 +282,14 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, passes: in
                 score = np.where(x.mask, odds[x.windows], -np.inf).max(1)
             order = np.lexsort((-score, x.owner))
             best = order[np.append(True, x.owner[order][1:] != x.owner[order][:-1])]
-            parts.append(x.subset(best))
+            parts.append(_subset(x, best))
             owners.append(b[x.owner[best]])
         if not parts:
             return None
         x = _Chosen(parts, np.concatenate(owners))
         for _ in range(passes):
             for rows in np.array_split(rng.permutation(len(x.owner)), max(1, len(x.owner) // 64)):
-                words, windows = np.unique(x.windows[rows], return_inverse=True)
-                part = _Chosen([(x.cell[words], x.grams[words], x.share[words], windows.reshape(-1, WINDOW), x.mask[rows])], x.owner[rows])
+                part = _Chosen([_subset(x, rows)], x.owner[rows])
                 vectors, keep = inputs(w, part), {}
                 score = forward(w, vectors, part.windows, part.mask, keep)
                 d_logit = ((_sigmoid(score) - labels[part.owner]) * weight[part.owner] / len(rows)).astype(np.float32)

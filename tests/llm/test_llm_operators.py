@@ -464,6 +464,36 @@ def test_toxicity_held_out_accuracy():
     assert ((scores >= toxicity.LIMIT) == label).mean() > 0.93 and (scores[label == 0] >= toxicity.LIMIT).mean() < 0.03
 
 
+def test_toxicity_grams_cover_words():
+    """Every n-gram of a word is in one of its parts, with the mark of its beginning, wherever it stands."""
+    texts = ["a", "abc", "abcd", "x" * 11 + "y", "Fünfundzwanzigjahresfeier bis", "天気がとても良いので散歩に行きたい" * 3, "", None, "0123456789abcdef" * 40]
+    for text in texts:
+        x, want = toxicity._Input(pa.array([text], pa.string())), set()
+        for word in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode()):
+            marked = b"\x01" + word + b"\0" * (3 - len(word) if len(word) < 3 else 0)
+            for n in toxicity.GRAMS:
+                for i in range(len(marked) - n + 1):
+                    value = np.uint64(0)
+                    for byte in marked[i : i + n]:
+                        value = np.uint64((int(value) * 257 + byte) % 2**64)
+                    want.add(int(toxicity.mix(np.array([value]), n)[0] >> np.uint64(40)) % toxicity.GRAM_CELLS)
+        assert want <= set(x.grams.ravel().tolist()), text
+
+
+def test_toxicity_after_a_long_beginning():
+    """What decides stands at the end of a compound, or far on in a clause without spaces."""
+    draw = random.Random(5)
+    latin = lambda: "".join(draw.choice("bdfglmnrst") + draw.choice("aeiou") for _ in range(10))
+    words = ["天気", "とても", "良い", "ので", "散歩", "行きたい", "昨日", "友達", "映画", "見た", "駅", "本屋", "新しい", "料理", "作る"]
+    kana = lambda: "".join(draw.choice(words) for _ in range(draw.randrange(12, 18)))
+    for make, bad, good in ((latin, "wixxkopf", "turmhaus"), (kana, "馬鹿野郎", "晴天続く")):
+        texts = [f"{make()}{bad if i % 2 else good}" for i in range(400)]
+        labels = np.arange(400) % 2
+        weights = toxicity.train(texts[:300], labels[:300])
+        found = toxicity._scores(weights, pa.array(texts[300:])) >= toxicity.LIMIT
+        assert (found == labels[300:]).mean() > 0.95
+
+
 def test_toxicity_odd_rows(spark):
     weights = toxicity.train(["a fine day", "you idiot", "quite nice", "what an idiot"] * 10, np.array([0, 1, 0, 1] * 10))
     found = toxicity.score_documents(odd(spark), weights)
