@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from retort import schemas
@@ -54,14 +55,19 @@ def jsonl_bad_lines(spark, sf_dir):
     "FROM documents QUALIFY doc_id % 7 = 3"
 )
 def bad_line_report(spark, sf_dir):
-    """Bad lines verbatim with their number in the file, one file per language."""
+    """Bad lines verbatim with their number among the lines of their language, over its files in order."""
     path = _fresh(spark, "report")
     docs = table(spark, sf_dir, "documents")
     line = F.to_json(F.struct("doc_id", "source", "text"))
     broken = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("{"), line)).otherwise(line)
-    ordered = docs.select("lang", "doc_id", broken.alias("value")).repartition("lang").sortWithinPartitions("lang", "doc_id")
+    ordered = docs.select("lang", "doc_id", broken.alias("value")).repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id")
     ordered.select("lang", "value").write.partitionBy("lang").text(path)
-    found = files.bad_lines(spark, path)
+    folder = F.regexp_extract("file_path", "^(.*)/", 1)
+    sizes = files.with_source(spark.read.text(path)).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    # files are named by range; one row per file
+    before = Window.partitionBy(folder).orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    found = files.bad_lines(spark, path).join(F.broadcast(offsets), "file_path").withColumn("line_number", F.col("line_number") + F.col("offset"))
     record = F.parse_json(F.substring("value", F.lit(2), F.length("value")))
     at = lambda name, kind: F.variant_get(record, f"$.{name}", kind)
     told = F.md5(F.concat(F.lit("{"), at("source", "string"), F.lit("|"), at("text", "string")))
@@ -77,7 +83,7 @@ def file_outcomes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     line = F.to_json(F.struct("doc_id", "text"))
     broken = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("{"), line)).otherwise(line)
-    docs.select("lang", broken.alias("value")).repartition("lang").write.partitionBy("lang").text(path)
+    docs.select("lang", broken.alias("value")).write.partitionBy("lang").text(path)
     counts = files.file_outcomes(files.parsed_lines(files.read_lines(spark, path, recursive=True)))
     lang = F.regexp_extract("file_path", "lang=([a-z]+)/", 1)
     return counts.groupBy(lang.alias("lang")).agg(F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad"), F.bool_or("failed").alias("failed"))

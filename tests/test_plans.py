@@ -10,6 +10,7 @@ from retort import schemas
 from retort.functions import scoring
 from retort.operators import records
 from retort.plans import answers, training, translation
+from retort.queries import files as file_queries
 from retort.sources import files, sinks
 from retort.streaming import resume
 
@@ -294,3 +295,27 @@ def test_only_unscored_records_are_scored(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None)], "sample_id string, spbleu double")
     out = resume.score_new(df, lambda d: d.withColumn("spbleu", F.lit(2.0)))
     assert sorted(tuple(r) for r in out.collect()) == [("a", 1.0), ("b", 2.0)]
+
+
+def test_files_of_a_language_have_many_writers(spark, tmp_path, monkeypatch):
+    """A language is written by several tasks, and counts and line numbers go over all its files."""
+    rows = [(i, "en" if i % 5 else "fr", "web", f"text {i}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    frame.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(file_queries, "_fresh", lambda _, name: str(tmp_path / name))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        report = file_queries.bad_line_report(spark, str(tmp_path)).select("doc_id", "line_number").collect()
+        outcomes = file_queries.file_outcomes(spark, str(tmp_path)).select("lang", "n_good", "n_bad", "failed").collect()
+    finally:
+        spark.conf.set(key, before)
+    numbers = {}
+    for lang in ("en", "fr"):
+        numbers |= {r[0]: k for k, r in enumerate((r for r in rows if r[1] == lang), 1)}
+    assert sorted(tuple(r) for r in report) == [(i, numbers[i]) for i in range(400) if i % 7 == 3]
+    bad = {lang: sum(r[1] == lang and r[0] % 7 == 3 for r in rows) for lang in ("en", "fr")}
+    assert sorted(tuple(r) for r in outcomes) == [("en", 320 - bad["en"], bad["en"], True), ("fr", 80 - bad["fr"], bad["fr"], True)]
+    for name in ("report", "outcomes"):
+        assert len(list((tmp_path / name / "lang=en").glob("part-*"))) > 1
