@@ -14,8 +14,9 @@ a count sketch first; it need not be exact, only the same everywhere.
 
 Equal sets are one class first. A list may be long (copies, common passages), so not all its pairs
 are made: in each of two rounds, classes are compared with the leads of their lists, one per list,
-and after that only pairs of classes that are in different components by then are made and counted,
-exactly. Every candidate is verified on the full sets.
+and after that pairs of classes that are in different components by then are counted, exactly. In
+each list the classes outside its most frequent component are joined with all classes, so no pairs
+are made within that component. Every candidate is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -283,6 +284,21 @@ def _may_link(light: int, percent: int):
     return (F.col("n") - F.col("place") >= least) & (F.col("n_b") - F.col("place_b") >= least)
 
 
+def _pairs_apart(live: DataFrame, light: int, percent: int) -> DataFrame:
+    """(a, b, c, n, n_b), a < b: pairs of classes of different roots and the keys by which they may link.
+
+    ``most`` is the most frequent root of the key's list; of two different roots one isn't that.
+    """
+    rest = live.filter("root != most").select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "root")])
+    # a pair of two classes of the rest comes twice
+    once = (F.col("root") == F.col("most")) | (F.col("sid") < F.col("sid_b"))
+    pairs = live.join(rest, "key").filter((F.col("root") != F.col("root_b")) & once & _may_link(light, percent))
+    ordered = F.col("sid") < F.col("sid_b")
+    own, other = F.struct("sid", "n"), F.struct(F.col("sid_b").alias("sid"), F.col("n_b").alias("n"))
+    pairs = pairs.select(F.when(ordered, own).otherwise(other).alias("x"), F.when(ordered, other).otherwise(own).alias("y"))
+    return pairs.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("x.n").alias("n"), F.max("y.n").alias("n_b"))
+
+
 def set_components(docs: DataFrame, order: _Order, light: int, ngram: int, percent: int) -> DataFrame:
     """(sid, root) of the classes of sets that link with another class."""
     spark: SparkSession = docs.sparkSession
@@ -295,29 +311,27 @@ def set_components(docs: DataFrame, order: _Order, light: int, ngram: int, perce
 
     for turn in range(LEAD_ROUNDS + 1):
         per_root = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-        per_key = per_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key")
-        live = saved(live.join(saved(per_key, "join-lists"), "key", "left_semi"), "join-live")
+        most = F.max_by("root", F.struct("m", "root")).alias("most")
+        per_key = per_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), most).filter("roots > 1").select("key", "most")
+        live = saved(live.join(saved(per_key, "join-lists"), "key"), "join-live")
         last = turn == LEAD_ROUNDS
-        other = live.select("key", *[F.col(c).alias(to) for c, to in (("sid", "b"), ("n", "n_b"), ("place", "place_b"), ("root", "root_b"))])
-        if not last:
+        if last:
+            pairs = _pairs_apart(live, light, percent)
+            pairs = pairs.filter(F.col("c") > _more(light, percent)).select("a", "b")
+        else:
             # the lead of a list: its first class by an order that changes from round to round
             lead = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("root").alias("root_b")))
             other = live.groupBy("key").agg(lead.alias("lead")).select("key", "lead.b", "lead.n_b", "lead.place_b", "lead.root_b")
             other = saved(other, "join-leads")
-        pairs = live.join(other, "key").filter((F.col("root") != F.col("root_b")) & _may_link(light, percent))
-        if last:
-            pairs = pairs.filter("sid < b")
-        pairs = pairs.groupBy(F.col("sid").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("n_b").alias("n_b"))
-        if last:
-            pairs = pairs.filter(F.col("c") > _more(light, percent)).select("a", "b")
-        else:
+            pairs = live.join(other, "key").filter((F.col("root") != F.col("root_b")) & _may_link(light, percent))
+            pairs = pairs.groupBy(F.col("sid").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"))
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
         found = saved(_links(saved(pairs, "join-pairs"), docs, ngram, percent), "join-links")
         links = links.union(found)
         if last:
             break
         roots = saved(components(links), "join-roots")
-        live = live.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        live = live.drop("root", "most").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     return components(links).withColumnRenamed("node", "sid")
 
 

@@ -556,3 +556,32 @@ def test_pipeline_rows_are_numbered_once(spark, tmp_path, monkeypatch):
             assert sorted(r["text"] for r in kept.collect()) == sorted({r[1] for r in rows})
         finally:
             spark.conf.unset(key)
+
+
+def test_join_makes_no_pairs_within_the_largest_component(spark, monkeypatch):
+    """All pairs of different roots, from a join of which one side lacks each list's largest component."""
+    draw, rows = random.Random(3), []
+    for key in range(6):
+        for sid in draw.sample(range(60), 40):
+            root = 0 if sid < 45 else sid if sid < 55 else 55
+            rows.append((key, sid, 20 + sid % 5, draw.randrange(6), root))
+    most = {key: Counter(r[4] for r in rows if r[0] == key).most_common(1)[0][0] for key in range(6)}
+    live = spark.createDataFrame([(*r, most[r[0]]) for r in rows], "key long, sid long, n int, place int, root long, most long")
+    sides, join = [], type(live).join
+
+    def joined(self, other, *args, **options):
+        sides.append((self.count(), other.count()))
+        return join(self, other, *args, **options)
+
+    monkeypatch.setattr(type(live), "join", joined)
+    found = rows_of(ngram_join._pairs_apart(live, 0, 80), "a", "b", "c", "n", "n_b")
+    monkeypatch.undo()
+    want = Counter()
+    for x in rows:
+        for y in rows:
+            least = -(-80 * (x[2] + y[2]) // 180)
+            least -= max(0, min(least - -(-80 * x[2] // 100), least - -(-80 * y[2] // 100), min(x[2], y[2]) // 32))
+            if x[0] == y[0] and x[1] < y[1] and x[4] != y[4] and x[2] - x[3] >= least and y[2] - y[3] >= least:
+                want[x[1], y[1], x[2], y[2]] += 1
+    assert found == sorted(((a, b, c, n, m) for (a, b, n, m), c in want.items()), key=repr) and found
+    assert sides == [(len(rows), sum(r[4] != most[r[0]] for r in rows))]
