@@ -464,6 +464,21 @@ def test_toxicity_held_out_accuracy():
     assert ((scores >= toxicity.LIMIT) == label).mean() > 0.93 and (scores[label == 0] >= toxicity.LIMIT).mean() < 0.03
 
 
+def test_toxicity_of_long_texts(spark):
+    """The registered query over texts of all lengths; those that the test above leaves out apart."""
+    from retort.llm.queries import op1_toxicity
+
+    data = "/root/testdata/sf0.1"
+    sizes = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", (F.length("text") >= 3000).alias("long"))
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "toxic")
+    scored = op1_toxicity(spark, data).filter("held_out").join(labels, "doc_id").join(sizes, "doc_id")
+    of = {(r["long"], r["toxic"]): (r["n"], r["hits"]) for r in scored.groupBy("long", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("predicted").alias("hits")).collect()}
+    share = {k: hits / n for k, (n, hits) in of.items()}
+    assert of[True, 1][0] >= 20 and of[True, 0][0] >= 200
+    assert share[False, 1] > 0.6 and share[False, 0] < 0.03
+    assert share[True, 1] > 0.7 and share[True, 0] < 0.04
+
+
 def test_toxicity_grams_cover_words():
     """Every n-gram of a word is in one of its parts, with the mark of its beginning, wherever it stands."""
     texts = ["a", "abc", "abcd", "x" * 11 + "y", "Fünfundzwanzigjahresfeier bis", "天気がとても良いので散歩に行きたい" * 3, "", None, "0123456789abcdef" * 40]
