@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retort.llm import bpe, exact, mixing, mtree, ngram_join, quotes, secret_links, substring, toxicity, wavelet
+from retort.llm import (
+    bpe, exact, importance, mixing, mtree, ngram_join, pii, quotes, secret_links, substring, toxicity, wavelet, whitening,
+)
 from retort.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +199,54 @@ def op10_quote_threads(spark, sf_dir):
     return found.select(
         F.col("scope").alias("conv_id"), F.col("id").alias("turn"), "role", "parent_id", "root_id", "depth", F.md5("text").alias("text_md5")
     )
+
+
+@_query(
+    r"""
+WITH RECURSIVE bits AS (SELECT n::bigint AS n, n::bigint AS c, 0 AS step FROM range(256) t(n)
+        UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::bigint) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+tab AS (SELECT list(c ORDER BY n) AS tab FROM bits WHERE step = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT r, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest(ws) AS w FROM b),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM dw UNION SELECT DISTINCT w FROM bw)),
+crc AS (SELECT w, (xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::bigint)),
+        lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::bigint) % 10000) AS bucket FROM v, tab),
+s AS (SELECT bucket, count(*)::double AS s FROM dw JOIN crc USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*)::double AS t FROM bw JOIN crc USING (w) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)) / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::bigint AS gain
+        FROM (SELECT range AS bucket FROM range(10000)) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+w AS (SELECT r, sum(gain) AS weight FROM dw JOIN crc USING (w) JOIN g USING (bucket) GROUP BY r),
+c AS (SELECT d.r, doc_id, len(ws)::bigint AS n_features, coalesce(weight, 0)::bigint AS weight,
+        (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint + 0.5::double) / 4294967296))))::bigint AS score
+        FROM d LEFT JOIN w ON w.r = d.r),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM k) * 10 // 100 THEN rank END AS rank FROM c LEFT JOIN k USING (r)
+"""
+)
+def op11_importance_resampling(spark, sf_dir):
+    """A tenth of the documents drawn towards the distribution of the benchmark texts."""
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_query()
+def op12_personal_data(spark, sf_dir):
+    """Personal data of all documents: strict matches, and what the boosted trees pick beyond them."""
+    docs = table(spark, sf_dir, "documents")
+    rows = pii.find_personal_data(docs, pii.fit(docs))
+    base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(
+        "doc_id",
+        *[count(kind) for kind in pii.BASE],
+        F.sha2(secret_links.listed(base), 256).alias("base_sha256"),
+        secret_links.listed(F.col("found")).alias("spans"),
+    )
+
+
+@_query()
+def op13_spectrum_whitening(spark, sf_dir):
+    """All embeddings on the first 16 principal components of the distinct ones, at unit variance."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
