@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ from retort.operators import records
 from retort.queries import views
 from retort.queries.registry import query, table
 from retort.session import shared_dir
-from retort.sources import files, sinks
+from retort.operators.stored import with_ordinals
+from retort.sources import catalogue, files, sinks, splits
 from retort.streaming import resume
 
 
@@ -147,3 +149,49 @@ def raw_line_union(spark, sf_dir):
         F.length(F.try_variant_get("record", "$.text", "string")).alias("n"),
     )
     return named.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("n_chars"))
+
+
+def _as_array(batches):
+    """The lines of a partition as one JSON array."""
+    yield pa.RecordBatch.from_pydict({"value": ["["]})
+    first = True
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_pydict({"value": [("" if first and k == 0 else ",") + line for k, line in enumerate(lines)]})
+        first = first and not lines
+    yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+
+@query(
+    "SELECT doc_id, row_number() OVER (ORDER BY doc_id % 2 = 0, doc_id) AS position, md5(text) AS text_md5 FROM documents"
+)
+def split_records(spark, sf_dir):
+    """Documents in split files, odd ones as JSON arrays and even ones as lines, read back in input order."""
+    root = _fresh(spark, "splits")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    parts = {k: docs.filter(F.col("doc_id") % 2 == k).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value") for k in (0, 1)}
+    plain = {"extension": "json", "quote": "", "escapeQuotes": "false", "sep": "\x01"}  # lines as they are
+    parts[1].mapInArrow(_as_array, "value string").write.options(**plain).csv(f"{root}/arrays")
+    parts[0].write.options(**plain).csv(f"{root}/lines")
+    rows = splits.read_splits(spark, catalogue.catalogue(spark, root, ("*.jsonl", "*.json")))
+    placed = with_ordinals(rows.select("file_no", "ordinal", "value"), [F.col("file_no").asc(), F.col("ordinal").asc()], "position")
+    record = F.parse_json("value")
+    return placed.select(
+        F.variant_get(record, "$.doc_id", "bigint").alias("doc_id"), "position", F.md5(F.variant_get(record, "$.text", "string")).alias("text_md5")
+    )
+
+
+@query("SELECT lang, count(*)::bigint AS n, 'lang=' || lang || '.jsonl' AS output FROM documents GROUP BY lang")
+def merge_plan(spark, sf_dir):
+    """Files below a folder planned for a merge: the former output and files of the folder itself are not read."""
+    root = _fresh(spark, "merge")
+    docs = table(spark, sf_dir, "documents").select("lang", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    docs.select("value").write.text(root)
+    docs.write.mode("append").partitionBy("lang").text(root)
+    docs.select("value").write.text(f"{root}/merged")
+    files_ = catalogue.catalogue(spark, root, ("*.txt",), output=f"{root}/merged", skip_root_level=True)
+    outputs = catalogue.planned_outputs(files_).select("folder", F.element_at(F.split("output", "/"), -1).alias("output")).distinct()
+    rows = splits.read_splits(spark, files_)
+    counts = rows.groupBy(F.regexp_replace("file_path", "/[^/]*$", "").alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    lang = F.regexp_extract("folder", "lang=([a-z]+)$", 1)
+    return counts.join(outputs, "folder").select(lang.alias("lang"), "n", "output")  # a row per folder

@@ -116,39 +116,6 @@ def read_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return read_jsonl_lenient(spark, path, ddl)[0]
 
 
-def read_split_json(spark: SparkSession, paths: str | list[str], flatten_one_line: bool = False) -> DataFrame:
-    """``.json`` files that are JSONL, one array or one object: a VARIANT per record.
-
-    The lines of a JSONL file count up to its first bad line; a file whose first filled
-    line is bad is read as one document, whose array elements become records. An array on
-    a single line stays one record unless ``flatten_one_line``.
-    """
-    lines = parsed_lines(with_line_numbers(read_lines(spark, paths)))
-    broken = F.min(F.when(F.col("record").isNull(), F.col("line_number")))
-    ends = lines.groupBy("file_path").agg(
-        broken.alias("_bad"), F.min("line_number").alias("_first")
-    )
-    whole_file = F.col("_bad") == F.col("_first")
-    jsonl = keep_computed(
-        lines.join(ends, "file_path"),
-        F.col("_bad").isNull() | (F.col("line_number") < F.col("_bad")),
-    ).select("file_path", "line_number", "record")
-    documents = (
-        spark.read.text(paths, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file_path"), F.try_parse_json("value").alias("doc"))
-        .join(ends.filter(whole_file).select("file_path"), "file_path", "left_semi")
-        .filter(F.col("doc").isNotNull())
-    )
-
-    def flattened(df: DataFrame, column: str, at: Column) -> DataFrame:
-        items = F.coalesce(F.try_variant_get(column, "$", "array<variant>"), F.array(F.col(column)))
-        return df.select("file_path", at.alias("line_number"), F.explode(items).alias("record"))
-
-    if flatten_one_line:
-        jsonl = flattened(jsonl, "record", F.col("line_number"))
-    return jsonl.unionByName(flattened(documents, "doc", F.lit(1).cast("bigint")))
-
-
 def list_files(spark: SparkSession, root: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """Paths below a root by name pattern, without reading the files; each path once."""
     reader = (

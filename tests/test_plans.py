@@ -194,34 +194,6 @@ def test_json_formats(spark, tmp_path):
         assert files.read_json(spark, path, schemas.SOURCE).count() == n, name
 
 
-def test_split_json(spark, tmp_path):
-    put(tmp_path, "s/1.json", '{"n": 1}\n{"n": 2}\nbad\n{"n": 3}\n')  # ends at the bad line
-    put(tmp_path, "s/2.json", '[\n{"n": 4},\n{"n": 5}\n]')
-    put(tmp_path, "s/3.json", '{\n"n": 6\n}')
-    put(tmp_path, "s/4.json", '[{"n": 7}, {"n": 8}]\n')  # a one-line array stays one record
-    put(tmp_path, "s/5.json", "nothing\n")
-
-    def numbers(**options):
-        rows = files.read_split_json(spark, str(tmp_path / "s"), **options)
-        return sorted(str(r[0]) for r in rows.select(F.to_json("record")).collect())
-
-    assert numbers() == ['[{"n":7},{"n":8}]'] + [f'{{"n":{i}}}' for i in (1, 2, 4, 5, 6)]
-    assert numbers(flatten_one_line=True) == [f'{{"n":{i}}}' for i in (1, 2, 4, 5, 6, 7, 8)]
-
-
-def test_split_json_over_many_blocks_with_blank_lines(spark, tmp_path):
-    lines = [f'{{"n": {i}}}' + "\n" * (1 + i % 3) for i in range(2000)]
-    lines[1500] = "bad\n"
-    put(tmp_path, "b/1.json", "".join(lines))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
-    try:
-        rows = files.read_split_json(spark, str(tmp_path / "b"))
-        found = sorted(r[0] for r in rows.select(F.try_variant_get("record", "$.n", "int")).collect())
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert found == list(range(1500))
-
-
 def test_discovery(spark, tmp_path):
     for name in ("r/a/x_postprocessed.jsonl", "r/a/b/y.jsonl", "r/c/d/z.jsonl", "r/c/d/w_postprocessed_METEOR0.40.jsonl"):
         put(tmp_path, name, "{}\n")
