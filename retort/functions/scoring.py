@@ -6,11 +6,10 @@ not exploded, so scoring adds no shuffle, and models are loaded once per task.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,55 +46,123 @@ def scorer(make: Callable[[], Score]) -> Callable[[Column, Column], Column]:
     return run
 
 
-def _ngrams(tokens: list[str], n: int) -> Counter:
-    return Counter(zip(*(tokens[i:] for i in range(n))))
+#: Characters of texts scored together.
+SCORED_CHARS = 1 << 22
+MAX_ORDER = 4
 
 
-def sentence_bleu(candidate: list[str], reference: list[str], max_order: int = 4) -> float:
-    """BLEU in percent with effective order, exponential smoothing and brevity penalty."""
-    logs, smooth, matched_any = [], 1.0, False
-    for n in range(1, max_order + 1):
-        total = len(candidate) - n + 1
-        if total <= 0:
-            break
-        matched = (_ngrams(candidate, n) & _ngrams(reference, n)).total()
-        matched_any |= matched > 0
-        if not matched:
-            smooth *= 2
-        logs.append(math.log(100 * matched / total if matched else 100 / (smooth * total)))
-    if not matched_any:
-        return 0.0
-    penalty = min(0.0, 1 - len(reference) / len(candidate))
-    return math.exp(penalty + sum(logs) / len(logs))
+def _clipped(keys: np.ndarray, wide: int, record: np.ndarray, n_texts: int) -> np.ndarray:
+    """Per text, how many of its n-grams its record's reference has as well, each as often as there.
+
+    ``keys`` are the sorted pairs text * ``wide`` + n-gram, and ``record`` the reference of each text.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(keys)))
+    text, gram = keys[starts] // wide, keys[starts] % wide
+    twin = record[text] * wide + gram  # the same n-gram in the reference, whose number is the record's
+    runs = keys[starts]
+    at = np.minimum(np.searchsorted(runs, twin), max(len(runs) - 1, 0))
+    there = np.where(runs[at] == twin, counts[at], 0) if len(runs) else counts
+    return np.bincount(text, np.minimum(counts, there), n_texts)
+
+
+def bleu_batch(candidates: list[list[str]], record: np.ndarray, references: list[list[str]]) -> np.ndarray:
+    """BLEU in percent of token lists, ``record`` naming each one's reference.
+
+    Effective order, exponential smoothing and brevity penalty. All n-grams of the batch are whole
+    numbers: one sort per order brings the equal ones of a text together, and a reference is
+    counted once, whatever the number of its candidates.
+    """
+    if not candidates:
+        return np.zeros(0)
+    texts = [*references, *candidates]
+    sizes = np.array([len(t) for t in texts])
+    owner, first = np.repeat(np.arange(len(texts)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+    left = first[owner + 1] - np.arange(len(owner))  # tokens from here to the end of the text
+    tokens = np.empty(len(owner), object)
+    tokens[:] = [t for text in texts for t in text]
+    ones, n_ones = pd.factorize(tokens)[0].astype(np.int64), len(tokens) + 1
+    record = np.concatenate([np.arange(len(references)), record])
+    codes = {1: ones}
+    if len(ones) > 1:  # pairs get numbers of their own, so that no code outgrows 64 bits
+        codes[2] = pd.factorize(np.append(ones[:-1] * n_ones + ones[1:], -1))[0].astype(np.int64)
+        pairs = codes[2]
+        codes[3] = pairs * n_ones + np.append(ones[2:], [0, 0])
+        codes[4] = pairs * n_ones + np.append(pairs[2:], [0, 0])
+        for n in (3, 4):
+            codes[n] = pd.factorize(codes[n])[0].astype(np.int64)
+    own = slice(len(references), None)
+    logs, orders, smooth, any_match = (np.zeros(len(candidates)) for _ in range(4))
+    smooth += 1
+    for n, code in codes.items():
+        inside = left >= n
+        wide = int(code.max(initial=0)) + 1
+        matched = _clipped(np.sort(owner[inside] * wide + code[inside]), wide, record, len(texts))[own]
+        total = sizes[own] - n + 1
+        has, hit = total > 0, matched > 0
+        any_match += hit
+        smooth[has & ~hit] *= 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(hit, 100 * matched / total, 100 / (smooth * total))
+            logs += np.where(has, np.log(value), 0.0)
+        orders += has
+    length = np.maximum(sizes[own], 1)
+    penalty = np.minimum(0.0, 1 - sizes[record[own]] / length)
+    return np.where(any_match > 0, np.exp(penalty + logs / np.maximum(orders, 1)), 0.0)
 
 
 def bleu_scores(tokenizer: str = "whitespace") -> Callable[[Column, Column], Column]:
-    """Sentence BLEU rounded to 4 places; blank sides score 0.
+    """Sentence BLEU rounded to 4 places; blank sides score 0, null candidates stay null.
 
     ``tokenizer`` is ``whitespace``, ``char`` or the path of a SentencePiece model
     (the multilingual one of spBLEU, which is not bundled). Executors must be able to
-    read the path.
+    read the path. Records are scored some megabytes of text at a time, one at least.
     """
 
-    def make() -> Score:
+    def splitter() -> Callable[[str], list[str]]:
         if tokenizer == "whitespace":
-            split = str.split
-        elif tokenizer == "char":
-            split = lambda text: list("".join(text.split()))
-        else:
-            import sentencepiece
+            return str.split
+        if tokenizer == "char":
+            return lambda text: list("".join(text.split()))
+        import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
-            split = lambda text: model.encode(text, out_type=str)
+        model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
+        return lambda text: model.encode(text, out_type=str)
 
-        def score(candidate: str, reference: str) -> float:
-            if not candidate.strip() or not reference.strip():
-                return 0.0
-            return round(sentence_bleu(split(candidate), split(reference)), 4)
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        split = splitter()
+
+        def scored(rows: list[tuple[list[str | None], str]]) -> list[list[float | None]]:
+            texts, owner, references = [], [], []
+            for k, (candidates, reference) in enumerate(rows):
+                # a blank reference scores 0 whatever the candidates, which need no tokens then
+                blank = not reference.strip()
+                references.append([] if blank else split(reference))
+                filled = [c for c in candidates if c is not None]
+                texts += [[] if blank else split(c) for c in filled]
+                owner += [k] * len(filled)
+            values = iter(round(v, 4) for v in bleu_batch(texts, np.array(owner, np.int64), references).tolist())
+            return [[None if c is None else next(values) for c in candidates] for candidates, _ in rows]
 
-        return score
+        for candidates, references in batches:
+            out: list = [None] * len(candidates)
+            rows, places, held = [], [], 0
+            for k, (options, reference) in enumerate(zip(candidates, references)):
+                if options is not None:
+                    rows.append((list(options), reference or ""))
+                    places.append(k)
+                    held += len(rows[-1][1]) + sum(len(c) for c in rows[-1][0] if c)
+                if rows and (held >= SCORED_CHARS or k + 1 == len(candidates)):
+                    for place, values in zip(places, scored(rows)):
+                        out[place] = values
+                    rows, places, held = [], [], 0
+            if rows:
+                for place, values in zip(places, scored(rows)):
+                    out[place] = values
+            yield pd.Series(out)
 
-    return scorer(make)
+    return run
 
 
 def exact_meteor(candidate: list[str], reference: list[str]) -> float:

@@ -1,8 +1,11 @@
 """Column functions against hand-made cases and small Python models."""
 
+import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,14 +299,51 @@ def test_loops(spark):
             loops.trailing_loop(F.col("t"), **bad)
 
 
+def model_bleu(candidate, reference):
+    logs, smooth, matched_any = [], 1.0, False
+    for n in range(1, 5):
+        total = len(candidate) - n + 1
+        if total <= 0:
+            break
+        grams = lambda t: Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))  # noqa: B023, E731
+        matched = (grams(candidate) & grams(reference)).total()
+        matched_any |= matched > 0
+        smooth *= 1 if matched else 2
+        logs.append(math.log(100 * matched / total if matched else 100 / (smooth * total)))
+    if not matched_any:
+        return 0.0
+    return math.exp(min(0.0, 1 - len(reference) / len(candidate)) + sum(logs) / len(logs))
+
+
 def test_bleu_values():
     same = "a b c d e".split()
-    assert scoring.sentence_bleu(same, same) == pytest.approx(100.0)
-    assert scoring.sentence_bleu(["x"], same) == 0.0
-    assert scoring.sentence_bleu(["a"], ["a"]) == pytest.approx(100.0)  # effective order
+    one = lambda candidate, reference: scoring.bleu_batch([candidate], np.array([0]), [reference])[0]
+    assert one(same, same) == pytest.approx(100.0)
+    assert one(["x"], same) == 0.0 == one([], same) == one(same, []) == one([], [])
+    assert one(["a"], ["a"]) == pytest.approx(100.0)  # effective order
     # 4 of 5 unigrams, 3 of 4 bigrams, 2 of 3 trigrams, 1 of 2 fourgrams
-    got = scoring.sentence_bleu("a b c d x".split(), same)
-    assert got == pytest.approx(100 * (4 / 5 * 3 / 4 * 2 / 3 * 1 / 2) ** 0.25)
+    assert one("a b c d x".split(), same) == pytest.approx(100 * (4 / 5 * 3 / 4 * 2 / 3 * 1 / 2) ** 0.25)
+    assert len(scoring.bleu_batch([], np.zeros(0, np.int64), [same])) == 0
+
+
+@pytest.mark.parametrize("words", [2, 5, 300])
+def test_bleu_of_batches(words):
+    draw = random.Random(words)
+    text = lambda: [f"w{draw.randrange(words)}" for _ in range(draw.choice([0, 1, 2, 3, 4, 9, 40]))]
+    references = [text() for _ in range(30)]
+    record = [draw.randrange(30) for _ in range(200)]
+    candidates = [draw.choice([text(), references[r], references[r][:3] * 2, references[r][::-1]]) for r in record]
+    want = [model_bleu(c, references[r]) for c, r in zip(candidates, record)]
+    assert scoring.bleu_batch(candidates, np.array(record), references) == pytest.approx(want, abs=1e-9)
+
+
+def test_bleu_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SCORED_CHARS", 20)
+    rows = [([f"a b c d {i}", None, "a b"], "a b c d e") for i in range(50)] + [([], "x"), (["q"], None), ([None], "z")]
+    df = spark.createDataFrame(rows, "c array<string>, r string").coalesce(1)
+    got = [r["s"] for r in df.select(scoring.bleu_scores()(F.col("c"), F.col("r")).alias("s")).collect()]
+    want = [[None if c is None else round(model_bleu(c.split(), (r or "").split()), 4) for c in cs] for cs, r in rows]
+    assert got == want
 
 
 def test_exact_meteor_values():
