@@ -51,63 +51,58 @@ SCORED_CHARS = 1 << 22
 MAX_ORDER = 4
 
 
-def _clipped(keys: np.ndarray, wide: int, record: np.ndarray, n_texts: int) -> np.ndarray:
-    """Per text, how many of its n-grams its record's reference has as well, each as often as there.
-
-    ``keys`` are the sorted pairs text * ``wide`` + n-gram, and ``record`` the reference of each text.
-    """
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(starts, len(keys)))
-    text, gram = keys[starts] // wide, keys[starts] % wide
-    twin = record[text] * wide + gram  # the same n-gram in the reference, whose number is the record's
-    runs = keys[starts]
-    at = np.minimum(np.searchsorted(runs, twin), max(len(runs) - 1, 0))
-    there = np.where(runs[at] == twin, counts[at], 0) if len(runs) else counts
-    return np.bincount(text, np.minimum(counts, there), n_texts)
-
-
 def bleu_batch(candidates: list[list[str]], record: np.ndarray, references: list[list[str]]) -> np.ndarray:
-    """BLEU in percent of token lists, ``record`` naming each one's reference.
+    """BLEU in percent of token lists, ``record`` (rising) naming each one's reference.
 
-    Effective order, exponential smoothing and brevity penalty. All n-grams of the batch are whole
-    numbers: one sort per order brings the equal ones of a text together, and a reference is
-    counted once, whatever the number of its candidates.
+    Effective order, exponential smoothing and brevity penalty. The n-grams of a record are whole
+    numbers, made from those of the order before and the next token; a candidate's n-gram goes on to
+    the next order only if the reference has it. A reference is counted once, and the candidates
+    are counted beside it, the first of all records together, then the second, and so on.
     """
     if not candidates:
         return np.zeros(0)
-    texts = [*references, *candidates]
+    n_ref, texts = len(references), [*references, *candidates]
     sizes = np.array([len(t) for t in texts])
     owner, first = np.repeat(np.arange(len(texts)), sizes), np.concatenate([[0], np.cumsum(sizes)])
-    left = first[owner + 1] - np.arange(len(owner))  # tokens from here to the end of the text
-    tokens = np.empty(len(owner), object)
-    tokens[:] = [t for text in texts for t in text]
-    ones, n_ones = pd.factorize(tokens)[0].astype(np.int64), len(tokens) + 1
-    record = np.concatenate([np.arange(len(references)), record])
-    codes = {1: ones}
-    if len(ones) > 1:  # pairs get numbers of their own, so that no code outgrows 64 bits
-        codes[2] = pd.factorize(np.append(ones[:-1] * n_ones + ones[1:], -1))[0].astype(np.int64)
-        pairs = codes[2]
-        codes[3] = pairs * n_ones + np.append(ones[2:], [0, 0])
-        codes[4] = pairs * n_ones + np.append(pairs[2:], [0, 0])
-        for n in (3, 4):
-            codes[n] = pd.factorize(codes[n])[0].astype(np.int64)
-    own = slice(len(references), None)
-    logs, orders, smooth, any_match = (np.zeros(len(candidates)) for _ in range(4))
-    smooth += 1
-    for n, code in codes.items():
-        inside = left >= n
-        wide = int(code.max(initial=0)) + 1
-        matched = _clipped(np.sort(owner[inside] * wide + code[inside]), wide, record, len(texts))[own]
-        total = sizes[own] - n + 1
-        has, hit = total > 0, matched > 0
+    tokens = np.empty(len(owner) + MAX_ORDER, object)
+    tokens[:-MAX_ORDER] = [t for text in texts for t in text]
+    tokens[-MAX_ORDER:] = ""
+    token, kinds = pd.factorize(tokens)
+    token, n_kinds = token.astype(np.int64), len(kinds)
+    of = np.concatenate([np.arange(n_ref), record])
+    turn = np.concatenate([[-1] * n_ref, np.arange(len(record)) - np.searchsorted(record, record)])  # which of a record's
+    at, code = np.arange(len(owner)), of[owner]
+    matched = np.zeros((MAX_ORDER + 1, len(texts)))
+    for n in range(1, MAX_ORDER + 1):
+        inside = at + n <= first[owner[at] + 1]
+        at, code = at[inside], code[inside]
+        gram, names = pd.factorize(code * n_kinds + token[at + n - 1])
+        text = owner[at]
+        known = np.bincount(gram[text < n_ref], minlength=len(names))
+        keep = (text < n_ref) | (known[gram] > 0)
+        at, code, text = at[keep], gram[keep].astype(np.int64), text[keep]
+        by_turn = np.argsort(turn[text], kind="stable")
+        ends = np.cumsum(np.bincount(turn[text] + 1))
+        for low, high in zip(ends, ends[1:]):
+            where = by_turn[low:high]
+            if len(where):
+                counts = np.bincount(code[where], minlength=len(names))
+                # one text of a record at a time, so a gram of the record belongs to one text
+                grams, place = code[where], text[where]
+                share = np.minimum(counts, known)[grams] / counts[grams]
+                matched[n] += np.bincount(place, share, len(texts))
+    matched = np.rint(matched[:, n_ref:])
+    logs, orders, any_match = (np.zeros(len(candidates)) for _ in range(3))
+    smooth = np.ones(len(candidates))
+    for n in range(1, MAX_ORDER + 1):
+        total = sizes[n_ref:] - n + 1
+        has, hit = total > 0, matched[n] > 0
         any_match += hit
         smooth[has & ~hit] *= 2
         with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(hit, 100 * matched / total, 100 / (smooth * total))
-            logs += np.where(has, np.log(value), 0.0)
+            logs += np.where(has, np.log(np.where(hit, 100 * matched[n] / total, 100 / (smooth * total))), 0.0)
         orders += has
-    length = np.maximum(sizes[own], 1)
-    penalty = np.minimum(0.0, 1 - sizes[record[own]] / length)
+    penalty = np.minimum(0.0, 1 - sizes[record] / np.maximum(sizes[n_ref:], 1))
     return np.where(any_match > 0, np.exp(penalty + logs / np.maximum(orders, 1)), 0.0)
 
 
@@ -139,11 +134,12 @@ def bleu_scores(tokenizer: str = "whitespace") -> Callable[[Column, Column], Col
                 # a blank reference scores 0 whatever the candidates, which need no tokens then
                 blank = not reference.strip()
                 references.append([] if blank else split(reference))
-                filled = [c for c in candidates if c is not None]
-                texts += [[] if blank else split(c) for c in filled]
-                owner += [k] * len(filled)
+                different = dict.fromkeys(c for c in candidates if c is not None)
+                texts += [[] if blank else split(c) for c in different]
+                owner += [k] * len(different)
             values = iter(round(v, 4) for v in bleu_batch(texts, np.array(owner, np.int64), references).tolist())
-            return [[None if c is None else next(values) for c in candidates] for candidates, _ in rows]
+            scores = ({c: next(values) for c in dict.fromkeys(c for c in candidates if c is not None)} for candidates, _ in rows)
+            return [[found.get(c) for c in candidates] for (candidates, _), found in zip(rows, scores)]
 
         for candidates, references in batches:
             out: list = [None] * len(candidates)
