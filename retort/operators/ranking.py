@@ -18,6 +18,7 @@ from pyspark.storagelevel import StorageLevel
 
 from retort.operators.joins import salted_join, shuffle_width
 from retort.operators.records import keep_computed
+from retort.operators.stored import with_running_sums
 
 BRACKET_VALUES = 200_000  # distinct values the last step of an order statistic may sort
 
@@ -211,18 +212,21 @@ def average_ranks(df: DataFrame, value: str, rank: str, source: DataFrame | None
     """Adds the 1-based rank over the whole frame, ties sharing their mean rank; rows without
     a value leave.
 
-    Values with at least a thousandth of the rows are at most a thousand: their ranks are a
-    broadcast frame, and their rows don't take part in the join with the other ranks, so no hot
-    value gathers its rows in one task. ``source`` is a cheaper frame with the same values to
-    count, where ``df`` is costly.
+    Values are counted once, and running sums over the sorted counts give the ranks. Values with
+    at least a thousandth of the rows are at most a thousand: their ranks are a broadcast frame,
+    and their rows are dealt out in the join with the other ranks, so no hot value gathers its
+    rows in one task. ``source`` is a cheaper frame with the same values to count, where ``df`` is
+    costly.
     """
-    ranked = cumulative_counts(df if source is None else source, [], value).select(
-        value,
-        (F.col("before") + (F.col("n") + 1) / 2).alias(rank),
-        (F.col("n") * 1000 >= F.col("n_values")).alias("_hot"),
+    counted = keep_computed(df if source is None else source, F.col(value).isNotNull())
+    sums = with_running_sums(counted.groupBy(value).agg(F.count(F.lit(1)).alias("_n")), [value], "_n", "_before")
+    total = sums.agg(F.sum("_n").alias("n")).select("n").scalar()
+    ranked = sums.select(
+        value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(rank), (F.col("_n") * 1000 >= total).alias("_hot")
     )
     hot = keep_computed(ranked, F.col("_hot")).select(value, F.col(rank).alias("_hot_rank"))
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if not isinstance(df.schema[c].dataType, (MapType, VariantType))]), F.lit(1024)) + 1
+    apart = [c for c in df.columns if not isinstance(df.schema[c].dataType, (MapType, VariantType))]
+    salt = F.pmod(F.xxhash64(*apart), F.lit(shuffle_width(df))) + 1
     marked = df.join(F.broadcast(hot), value, "left").withColumn(
         "_salt", F.when(F.col("_hot_rank").isNotNull(), salt).otherwise(F.lit(0))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from retort.constants import RANK_BIN_EDGES, RANK_BIN_LABELS, RANK_THRESHOLDS
 from retort.functions.text import python_float, strip
+from retort.operators.quantiles import bracketed_percentiles, correlation_p
 from retort.operators.ranking import (
     average_ranks,
     bounded_counts,
@@ -123,7 +124,7 @@ def moments(value: Column, prefix: str) -> list[Column]:
 
 
 def _error_bounds(df: DataFrame, groups: list[str], multiplier: float) -> DataFrame:
-    cut = exact_percentiles(df, groups, "abs_error", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    cut = bracketed_percentiles(df, groups, "abs_error", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     return cut.withColumn("bound", F.col("q3") + F.lit(multiplier) * (F.col("q3") - F.col("q1")))
 
 
@@ -302,10 +303,12 @@ def gaussian_density(
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with tied ranks shared: one row of rho and the number of pairs."""
+    """Rank correlation with tied ranks shared: one row of rho, the number of pairs, and the
+    two-sided p under Student's t (NULL below three pairs, or where one side is constant)."""
     pairs = df.select(x, y).dropna()
     ranked = average_ranks(average_ranks(pairs, x, "_rx"), y, "_ry", source=pairs)
-    return ranked.agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    rho = ranked.agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return rho.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
 def weighted_mean(means: DataFrame, mean: str, weight: str, name: str) -> DataFrame:

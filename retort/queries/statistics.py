@@ -103,8 +103,12 @@ def score_density(spark, sf_dir):
 
 @query(
     "WITH r AS (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0::double AS rx, "
-    "rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0::double AS ry FROM orders) "
-    "SELECT round(corr(rx, ry), 6) AS rho, count(*)::bigint AS n FROM r"
+    "rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0::double AS ry FROM orders), "
+    "c AS (SELECT corr(rx, ry) AS rho, count(*) AS n, (count(*) - 2)::double AS f FROM r), "
+    # Simpson's rule for the density of Student's t from 0 to t
+    "t AS (SELECT *, abs(rho) * sqrt(f / (1 - rho * rho)) AS t, exp(lgamma((f + 1) / 2) - lgamma(f / 2)) / sqrt(f * pi()) AS k FROM c), "
+    "s AS (SELECT sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * k * pow(1 + pow(i * t / 2000.0::double, 2) / f, -(f + 1) / 2) * t / 6000.0::double) AS area FROM t, range(2001) x(i)) "
+    "SELECT round(rho, 6) AS rho, n::bigint AS n, round(1 - 2 * area, 6) AS p FROM t, s"
 )
 def spearman_rank(spark, sf_dir):
     return _rounded(st.spearman(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey"))
