@@ -14,7 +14,7 @@ from retort.queries import views
 from retort.queries.registry import query, table
 from retort.session import shared_dir
 from retort.operators.stored import with_ordinals
-from retort.sources import catalogue, files, sinks, splits
+from retort.sources import catalogue, files, sinks, splits, versions
 from retort.streaming import resume
 
 
@@ -118,23 +118,64 @@ def language_of_name(spark, sf_dir):
     return docs.select("doc_id", records.language_of_name(name).alias("file_lang"))
 
 
-@query(views.TRANSLATION_SQL + f"SELECT sample_id, md5({'string_agg(gtext, chr(10) ORDER BY gen)'}) AS answers_md5 FROM g GROUP BY sample_id")
+@query(
+    views.TRANSLATION_SQL
+    + f"SELECT sample_id, md5({'string_agg(gtext, chr(10) ORDER BY gen)'}) AS answers_md5, 1::bigint AS n_stored FROM g GROUP BY sample_id"
+)
 def stream_resume(spark, sf_dir):
-    """Requests arrive as files; a stream answers each once, a second run has nothing to do."""
+    """Requests arrive as files in two waves, the second repeating some; a stream answers each once."""
     inbox, results, marks = (_fresh(spark, n) for n in ("inbox", "results", "marks"))
     requests = views.translation_records(spark, sf_dir).select("sample_id", "generated")
-    requests.write.parquet(inbox)
     schema = "sample_id STRING, answers STRING"
+    wave = F.pmod(F.xxhash64("sample_id"), F.lit(3))
 
     def answer(todo):
         joined = F.array_join(F.map_values("generated"), "\n")
         return todo.select("sample_id", joined.alias("answers"))
 
-    for _ in range(2):
+    for arrived in (wave < 2, wave > 0, None):  # at last nothing new
+        if arrived is not None:
+            requests.filter(arrived).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(requests.schema).parquet(inbox)
         resume.answer_stream(stream, answer, results, marks, schema).awaitTermination()
     done = resume.stored_results(spark, results, schema)
-    return done.select("sample_id", F.md5("answers").alias("answers_md5"))
+    stored_rows = spark.read.schema(schema).parquet(results).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_stored"))
+    return done.join(stored_rows, "sample_id").select("sample_id", F.md5("answers").alias("answers_md5"), "n_stored")
+
+
+@query(
+    "SELECT source, count(*)::bigint AS n_rows, count_if(doc_id % 97 = 1)::bigint AS n_changed, CASE WHEN count_if(doc_id % 97 = 1) > 0 THEN 2 ELSE 1 END AS version, "
+    "sum(length(CASE WHEN doc_id % 97 = 1 THEN text || ' (revised)' ELSE text END))::bigint AS n_chars FROM documents GROUP BY source"
+)
+def changed_partitions(spark, sf_dir):
+    """A second version rewrites only the sources that hold changed records; the others keep their files."""
+    path = _fresh(spark, "versions")
+    docs, schema = table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id BIGINT, source STRING, text STRING"
+    versions.commit_changes(docs, path, "source")
+    changed = F.col("doc_id") % 97 == 1
+    first = versions.read_version(spark, path, schema)
+    revised = first.withColumn("text", F.when(changed, F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text")))
+    versions.commit_changes(revised, path, "source", changed)
+    now = versions.read_version(spark, path, schema).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(changed).alias("n_changed"), F.sum(F.length("text")).alias("n_chars")
+    )
+    written = versions.manifest(spark, path).select(F.col("part").alias("source"), "version")
+    return now.join(written, "source")
+
+
+@query(
+    "SELECT (o - 1) // 300 + 1 AS part, count(*)::bigint AS n_rows, min(doc_id) AS first_id, max(doc_id) AS last_id, 0::bigint AS n_written_again "
+    "FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS o FROM documents) GROUP BY 1"
+)
+def parts_of_fixed_size(spark, sf_dir):
+    """Documents in parts of 300 in identifier order; a second run finds all parts and writes none."""
+    path = _fresh(spark, "parts")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    versions.write_parts(docs, path, [F.col("doc_id").asc()], 300)
+    again = versions.write_parts(docs, path, [F.col("doc_id").asc()], 300).agg(F.sum("n_rows").alias("n")).select("n").scalar()
+    rows = spark.read.schema("doc_id BIGINT, text STRING, part BIGINT").parquet(f"{path}/parts")
+    ends = [F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")]
+    return rows.groupBy("part").agg(*ends).withColumn("n_written_again", F.coalesce(again, F.lit(0).cast("bigint")))
 
 
 @query("SELECT lang AS task, count(*)::bigint AS n, sum(length(text))::bigint AS n_chars FROM documents GROUP BY lang")

@@ -4,17 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from retort.operators.joins import last_per_key, pending
 
 
+#: Folders that results are dealt to by a hash of their identifier.
+PREFIXES = 64
+
+
+def _prefix(sample_id: str = "sample_id") -> Column:
+    return F.pmod(F.xxhash64(sample_id), F.lit(PREFIXES)).cast("int")
+
+
+def _results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, batch BIGINT, prefix INT").parquet(folder)
+
+
 def stored_results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Results of all finished batches, the latest per ``sample_id``."""
-    rows = spark.read.schema(f"{schema}, batch BIGINT").parquet(folder)
-    return last_per_key(rows, ["sample_id"], "batch").drop("batch")
+    return last_per_key(_results(spark, folder, schema), ["sample_id"], "batch").drop("batch", "prefix")
+
+
+def answered_before(batch: DataFrame, number: int, folder: str, schema: str) -> DataFrame:
+    """Identifiers that earlier batches answered, of the prefixes that ``batch`` has.
+
+    The prefixes, 64 at most, are found first, so that only their folders are listed and read.
+    """
+    mine = sorted(r[0] for r in batch.select(_prefix().alias("p")).distinct().collect())
+    done = _results(batch.sparkSession, folder, schema)
+    return done.filter(F.col("prefix").isin(mine) & (F.col("batch") < number)).select("sample_id")
 
 
 def answer_stream(
@@ -27,18 +48,18 @@ def answer_stream(
     """Answer new requests of a streaming frame into ``folder`` and stop when none are left.
 
     ``answer`` maps pending requests to results with ``sample_id`` (a model call belongs in
-    its ``mapInPandas``). A batch writes its own ``batch=N`` folder and overwrites just that
-    when it is replayed, so a lost executor or driver leaves neither gaps nor doubles;
-    requests answered by earlier batches are left out by an anti join.
+    its ``mapInPandas``). A batch writes its own ``batch=N`` folder, dealt to prefixes of the
+    identifiers' hash, and overwrites just that when it is replayed, so a lost executor or driver
+    leaves neither gaps nor doubles. Requests answered by earlier batches are left out by an anti
+    join with the history of the batch's own prefixes.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         todo = batch.dropDuplicates(["sample_id"])
         if number:
-            done = spark.read.schema(f"{schema}, batch BIGINT").parquet(folder)
-            todo = pending(todo, done.filter(F.col("batch") < number), "sample_id")
-        answer(todo).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+            todo = pending(todo, answered_before(batch, number, folder, schema), "sample_id")
+        results = answer(todo).withColumn("prefix", _prefix()).repartition("prefix")
+        results.write.mode("overwrite").partitionBy("prefix").parquet(f"{folder}/batch={number}")
 
     return (
         requests.writeStream.foreachBatch(run)
