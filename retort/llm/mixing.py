@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retort.llm.text import WORD_PATTERN, saved
+from retort.operators.stored import fresh
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -125,8 +126,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
     times = mixture(docs, **options).groupBy("doc_id", "source").agg(F.max(F.col("whole") + F.round("part").cast("long")).alias("times"))
-    times = times.filter("times > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("times").alias("_mix_times"))
-    on = docs[id_col].eqNullSafe(F.col("_mix_id")) & docs[source_col].eqNullSafe(F.col("_mix_source"))
-    taken = docs.join(times, on)
-    copies = F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int")))
-    return taken.select([docs[c] for c in docs.columns] + [copies.alias("_mix_copy")]).drop("_mix_copy")
+    own_id, own_source, n, copy = fresh(docs, "_mix_id", "_mix_source", "_mix_times", "_mix_copy")
+    times = times.filter("times > 0").select(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("times").alias(n))
+    taken = docs.join(times, F.col(id_col).eqNullSafe(F.col(own_id)) & F.col(source_col).eqNullSafe(F.col(own_source)))
+    copies = F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))
+    return taken.select(*docs.columns, copies.alias(copy)).drop(copy)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm.text import Words, mix, pieces, saved, signed, small_batches
+from retort.llm.text import Words, mix, pieces, release, saved, signed, small_batches
 
 NGRAM = 5
 PERCENT = 80
@@ -233,7 +233,9 @@ def _links(pairs: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataF
 
     x = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+    found = saved(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long"), "join-links")
+    release(sets)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,13 +252,16 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = saved(small.filter("u != v").distinct(), "edges")
+        before, edges = edges, saved(small.filter("u != v").distinct(), "edges")
+        release(before)
         sums = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(sums) == mark:
             break
         mark = tuple(sums)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.union(edges.select("v", "v").distinct())
+    nodes = saved(nodes.union(edges.select("v", "v").distinct()), "join-roots")
+    release(edges)
+    return nodes
 
 
 def _overlap(percent: int):
@@ -305,15 +310,19 @@ def set_components(docs: DataFrame, order: _Order, light: int, ngram: int, perce
     entries = saved(_entries(docs, order, light, ngram, percent), "join-entries")
     lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     # aggregates are written before they are joined, so that the join can be split at a hot key
-    live = entries.join(saved(lists, "join-lists"), "key", "left_semi").distinct().withColumn("root", F.col("sid"))
+    lists = saved(lists, "join-lists")
+    live = entries.join(lists, "key", "left_semi").distinct().withColumn("root", F.col("sid"))
     live = saved(live, "join-live")
-    links = spark.createDataFrame([], "a long, b long")
+    release(entries, lists)
+    links, written = spark.createDataFrame([], "a long, b long"), []
 
     for turn in range(LEAD_ROUNDS + 1):
         per_root = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
         most = F.max_by("root", F.struct("m", "root")).alias("most")
         per_key = per_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), most).filter("roots > 1").select("key", "most")
-        live = saved(live.join(saved(per_key, "join-lists"), "key"), "join-live")
+        before, lists = live, saved(per_key, "join-lists")
+        live = saved(before.join(lists, "key"), "join-live")
+        release(before, lists)
         last = turn == LEAD_ROUNDS
         if last:
             pairs = _pairs_apart(live, light, percent)
@@ -322,17 +331,28 @@ def set_components(docs: DataFrame, order: _Order, light: int, ngram: int, perce
             # the lead of a list: its first class by an order that changes from round to round
             lead = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("root").alias("root_b")))
             other = live.groupBy("key").agg(lead.alias("lead")).select("key", "lead.b", "lead.n_b", "lead.place_b", "lead.root_b")
-            other = saved(other, "join-leads")
+            leads = other = saved(other, "join-leads")
             pairs = live.join(other, "key").filter((F.col("root") != F.col("root_b")) & _may_link(light, percent))
             pairs = pairs.groupBy(F.col("sid").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"))
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-        found = saved(_links(saved(pairs, "join-pairs"), docs, ngram, percent), "join-links")
+        pairs = saved(pairs, "join-pairs")
+        if last:
+            release(live)
+        else:
+            release(leads)
+        found = _links(pairs, docs, ngram, percent)
+        release(pairs)
+        written.append(found)
         links = links.union(found)
         if last:
             break
-        roots = saved(components(links), "join-roots")
-        live = live.drop("root", "most").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    return components(links).withColumnRenamed("node", "sid")
+        roots = components(links)
+        kept = live.drop("root", "most").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+        before, live = live, saved(kept.withColumn("root", F.coalesce("root", "sid")), "join-live")
+        release(before, roots)
+    found = components(links)
+    release(*written)
+    return found.withColumnRenamed("node", "sid")
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,9 +369,10 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
         order = _Order(_sketch(docs, ngram))
         rows = saved(_rows(docs, order, ngram, percent), "join-rows")
         light = boundary(rows, percent)
-        roots = saved(set_components(docs, order, light, ngram, percent), "join-roots")
+        roots = set_components(docs, order, light, ngram, percent)
     rows = rows.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = saved(least, "join-least")  # before the join, which can then be split at a large component
     return rows.join(least, "root", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.text import Words, pieces, saved, signed
+from retort.llm.text import Words, pieces, release, saved, signed
 
 SIZE = 35
 
@@ -218,8 +218,11 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     run, schema = _window_rows(size)
     windows = _texts(docs).join(spans, ["cls", "n_words"]).select("text", "spans").mapInArrow(run, schema)
     windows = saved(windows, "passages-full")
+    release(found)
     starts = _repeated(windows, ["key1", "key2"]).groupBy("cls", "n_words").agg(F.collect_set("start").alias("starts"))
-    return saved(starts, "passages-starts")
+    starts = saved(starts, "passages-starts")
+    release(windows)
+    return starts
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -258,7 +261,9 @@ def without_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
     # a class spread over split partitions may come more than once, always alike
     cut = cut.groupBy("cls", "n_words").agg(F.max("n_removed").alias("n_removed"), F.max("kept").alias("kept"))
     cut = saved(cut, "passages-cut").withColumn("kept_digest", F.sha2("kept", 256))
+    release(starts)
     copies = rows.groupBy("cls", "n_words").agg(F.count(F.lit(1)).alias("copies")).filter((F.col("copies") > 1) & (F.col("n_words") >= size))
+    copies = saved(copies, "passages-copies")  # before the join, which can then be split at a large class
     rows = rows.join(cut, ["cls", "n_words"], "left").join(copies, ["cls", "n_words"], "left")
     whole = F.col("copies").isNotNull()
     return rows.select(

@@ -1,8 +1,10 @@
 """Words and word-window hashes of whole Arrow text columns, without Python strings.
 
-A word is a maximal run of bytes other than ``\\x20`` and ``\\x09-\\x0D``. Hashes are 64-bit:
-a polynomial over the bytes (or over the words of a window) modulo 2**64, read off prefix sums
-and finished by a mixing step. They depend on the words only, never on partition or machine.
+A word is a maximal run of bytes other than ``\\x20`` and ``\\x09-\\x0D``. Hashes are two
+polynomials over the bytes (or over the words of a window) modulo the prime 2**31 - 1, read off
+prefix sums, put together to 62 bits and finished by a mixing step to 64. They depend on the words
+only, never on partition or machine. A modulus of 2**64 would not do: there, texts that follow
+the Thue-Morse sequence collide whatever the multiplier.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 
 _U = np.uint64
-_BYTE_STEP = 0xD1342543DE82EF95  # odd multipliers of the two polynomials
-_WORD_STEPS = (0xAF251AF3B0F025B5, 0x9E3779B97F4A7C15)
+_PRIME, _BITS = _U((1 << 31) - 1), _U(31)
+#: Two multipliers for bytes, and for words two pairs (the second of windows told apart by 96 bits).
+_BYTE_STEPS = (0x2545F491, 0x5851F42D)
+_WORD_STEPS = ((0x369DEA0F, 0x1F3D5B79), (0x4C957F2D, 0x7C9B3A11))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 
@@ -38,33 +42,48 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Values below 2**62 modulo the prime, up to one multiple of it."""
+    x = (x & _PRIME) + (x >> _BITS)
+    return (x & _PRIME) + (x >> _BITS)
+
+
 _CODES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _LOWER_CODES = _CODES.copy()
 _LOWER_CODES[65:91] = _CODES[97:123]
+#: For each of the two polynomials, its own bits of the bytes' codes.
+_LANES = [(_CODES >> _U(31 * k)) & _PRIME for k in (0, 1)]
+_LOWER_LANES = [(_LOWER_CODES >> _U(31 * k)) & _PRIME for k in (0, 1)]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``step`` and of its inverse, at least ``n`` of each."""
+    """Powers of ``step`` and of its inverse modulo the prime, at least ``n`` of each."""
     have = _powers.get(step)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = 1 << max(16, (n - 1).bit_length())
         tables = []
-        for base in (step, pow(step, -1, 1 << 64)):
-            table = np.full(size, base, _U)
-            table[0] = 1
-            tables.append(np.cumprod(table, dtype=_U))
+        for base in (step, pow(step, -1, int(_PRIME))):
+            table = np.ones(1, _U)
+            while len(table) < size:  # the next powers are those so far times one
+                table = np.concatenate([table, _folded(table * _U(pow(base, len(table), int(_PRIME))))])
+            tables.append(table.astype(np.uint32))
         have = (tables[0], tables[1])
         if size <= 4 * CHUNK_BYTES:
             _powers[step] = have
     return have
 
 
-def _span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int) -> np.ndarray:
-    up, down = _power_tables(step, len(values) + 1)
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts]
+def _span_hash(lanes: list[np.ndarray], starts: np.ndarray, ends: np.ndarray, steps: tuple[int, int]) -> np.ndarray:
+    """62 bits for each span: two polynomials, each over values of its own below 2**31."""
+    found = np.zeros(len(starts), _U)
+    for k, (values, step) in enumerate(zip(lanes, steps, strict=True)):
+        up, down = _power_tables(step, len(values) + 1)
+        sums = np.zeros(len(values) + 1, _U)
+        np.cumsum(_folded(values * up[: len(values)]), out=sums[1:])  # of less than 2**33 values, so below 2**64
+        part = _folded(_folded(sums[ends] - sums[starts]) * down[starts])
+        found |= np.where(part >= _PRIME, part - _PRIME, part) << _U(31 * k)
+    return found
 
 
 class Words:
@@ -91,8 +110,9 @@ class Words:
         self.ends = np.flatnonzero(solid & ~after[1:]) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.bounds)
-        codes = (_LOWER_CODES if lower else _CODES)[self.bytes]
-        self.hashes = mix(_span_hash(codes, self.starts, self.ends, _BYTE_STEP), 0x243F6A8885A308D3)
+        lanes = [codes[self.bytes] for codes in (_LOWER_LANES if lower else _LANES)]
+        # the length goes in as well, as no value of a byte is barred from being 0 modulo the prime
+        self.hashes = mix(_span_hash(lanes, self.starts, self.ends, _BYTE_STEPS) + (self.ends - self.starts).astype(_U), 0x243F6A8885A308D3)
 
     def windows(self, size: int, which: int = 0) -> np.ndarray:
         """Hash of the ``size`` words from each word on; the caller leaves out those over a text's end."""
@@ -101,11 +121,16 @@ class Words:
             return np.zeros(0, _U)
         starts = np.arange(n - size + 1)
         values = self.hashes if which == 0 else mix(self.hashes, 0x452821E638D01377)
-        return mix(_span_hash(values, starts, starts + size, _WORD_STEPS[which]), size)
+        return mix(_span_hash(_two_lanes(values), starts, starts + size, _WORD_STEPS[which]), size)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of the words from ``starts`` up to ``ends``."""
-        return mix(_span_hash(self.hashes, starts, ends, _WORD_STEPS[0]), 0x13198A2E03707344)
+        found = _span_hash(_two_lanes(self.hashes), starts, ends, _WORD_STEPS[0])
+        return mix(found + np.asarray(ends - starts).astype(_U), 0x13198A2E03707344)
+
+
+def _two_lanes(hashes: np.ndarray) -> list[np.ndarray]:
+    return [hashes & _PRIME, (hashes >> _BITS) & _PRIME]
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -140,7 +165,48 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    for scope in _scopes:
+        scope.append(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._saved_at = path
+    return back
+
+
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``saved`` wrote for these frames; only when all that reads them is itself written.
+
+    Through the file system of the path, so in any shared store. Frames that are not from ``saved``
+    are left alone.
+    """
+    for frame in frames:
+        path = frame.__dict__.pop("_saved_at", None)
+        if path:
+            _delete(frame.sparkSession, path)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths that ``saved`` writes meanwhile, for ``release_paths`` once they are superseded."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes.remove(paths)
+
+
+def release_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _delete(spark, path)
+    paths.clear()
 
 
 @contextmanager

@@ -600,3 +600,83 @@ def test_join_makes_no_pairs_within_the_largest_component(spark, monkeypatch):
                 want[x[1], y[1], x[2], y[2]] += 1
     assert found == sorted(((a, b, c, n, m) for (a, b, n, m), c in want.items()), key=repr) and found
     assert sides == [(len(rows), sum(r[4] != most[r[0]] for r in rows))]
+
+
+def thue_morse(n, pair):
+    return [pair[bin(i).count("1") % 2] for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_follow_thue_morse_differ(n):
+    """Hashes modulo a power of two take a Thue-Morse word and its complement for equal, whatever the multiplier."""
+    from retort.llm.text import Words
+
+    a, b = "".join(thue_morse(n, "ab")), "".join(thue_morse(n, "ba"))
+    assert len(set(Words(pa.array([a, b, a + "a", "a" + b])).hashes.tolist())) == 4
+    texts = Words(pa.array([" ".join(thue_morse(n, ("x", "yy"))), " ".join(thue_morse(n, ("yy", "x")))]))
+    assert len(set(texts.spans(texts.bounds[:-1], texts.bounds[1:]).tolist())) == 2
+
+
+def test_crafted_words_and_texts_are_told_apart(spark):
+    rest = [f"w{i}" for i in range(39)]
+    rows = [(i, " ".join([*rest[:20], "".join(thue_morse(1024, pair)), *rest[20:]]), "s") for i, pair in enumerate(("ab", "ba"))]
+    rows += [(2 + i, " ".join(thue_morse(1024, pair)), "s") for i, pair in enumerate((("q", "r"), ("r", "q")))]
+    pairs = [r[:2] for r in rows]
+    found = rows_of(ngram_join.near_duplicates(odd(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert found == brute_join(pairs) and found[0][2] != found[1][2]
+    found = rows_of(substring.without_repeats(odd(spark, rows), 35), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert found == brute_passages(pairs, 35) and found[0][2] == 0
+
+
+def test_hashes_equal_polynomials_in_plain_python():
+    from retort.llm import text
+
+    draw, prime = random.Random(8), 2**31 - 1
+    values = [[draw.randrange(2**31) for _ in range(300)] for _ in range(2)]
+    spans = sorted((draw.randrange(301), draw.randrange(301)) for _ in range(100))
+    spans = [(min(s), max(s)) for s in spans]
+    found = text._span_hash([np.array(v, np.uint64) for v in values], np.array([s for s, _ in spans]), np.array([e for _, e in spans]), text._BYTE_STEPS)
+    want = [sum((sum(v[i] * pow(step, i - s, prime) for i in range(s, e)) % prime) << (31 * k) for k, (v, step) in enumerate(zip(values, text._BYTE_STEPS))) for s, e in spans]
+    assert found.tolist() == want
+
+
+def test_written_frames_are_let_go(spark, monkeypatch):
+    """Of the join's own frames only those remain that its result reads; the result can be read twice."""
+    from pathlib import Path
+
+    from retort.llm import text
+
+    rows = near_rows(4)
+    with text.scratch() as paths:
+        found = ngram_join.near_duplicates(odd(spark, rows))
+    left = [p for p in paths if Path(p.removeprefix("file:")).exists()]
+    assert len(left) <= 4 and len(paths) > 10
+    columns = ("doc_id", "n_shingles", "component_id")
+    assert rows_of(found, *columns) == rows_of(found, *columns) == brute_join([r[:2] for r in rows])
+    text.release_paths(spark, paths)
+    assert not any(Path(p.removeprefix("file:")).exists() for p in left) and not paths
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    clash = ("_row", "_mix_id", "_mix_source", "_mix_times", "_mix_copy", "row", "key", "last")
+    docs = odd(spark).withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce("source", F.lit("?"))) for c in clash})
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, docs, SMALL)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[c] == f"{c}-{r['source'] or '?'}" for r in rows for c in clash)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    coded = corpus_pipeline.STAGES[4][1](spark, docs, SMALL)
+    assert coded.count() == len(ODD)
+
+
+def test_pipeline_frees_what_a_stage_wrote(spark):
+    from pathlib import Path
+
+    docs = documents(spark)
+    corpus_pipeline.drop_copies(spark, docs, SMALL).write.format("noop").mode("overwrite").save()
+    written = list(corpus_pipeline._written)
+    assert written and all(Path(p.removeprefix("file:")).exists() for p in written[:1])
+    corpus_pipeline.mix_sources(spark, docs, SMALL)
+    assert not any(Path(p.removeprefix("file:")).exists() for p in written)
