@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm.text import Words, mix, pieces, release, saved, signed, small_batches
+from retort.llm.text import CHUNK_BYTES, Words, mix, pieces, release, saved, signed, small_batches
 
 NGRAM = 5
 PERCENT = 80
@@ -84,7 +84,7 @@ def _sketch(docs: DataFrame, ngram: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(CELLS, np.int64), set()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", CHUNK_BYTES):
                 sets = _Sets(piece.column("text"), ngram)
                 mine = [sets.sets[i] for i in sets.new(seen)]
                 if mine:
@@ -120,7 +120,7 @@ def _rows(docs: DataFrame, order: _Order, ngram: int, percent: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", CHUNK_BYTES):
                 sets = _Sets(piece.column("text"), ngram)
                 scans = []
                 for s in sets.sets:
@@ -162,7 +162,7 @@ def _entries(docs: DataFrame, order: _Order, light: int, ngram: int, percent: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = shared.value, set()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", CHUNK_BYTES):
                 sets = _Sets(piece.column("text"), ngram)
                 keys, owners, places = [], [], []
                 for i in sets.new(seen):
@@ -201,14 +201,14 @@ def _with_sets(docs: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", CHUNK_BYTES):
                 sets = _Sets(piece.column("text"), ngram)
                 new = [i for i in sets.new(seen) if shared.value[sets.ids[i] % WANTED_CELLS]]
                 yield pa.RecordBatch.from_arrays([pa.array(sets.ids[new]), piece.column("text").take(pa.array(new, pa.int64()))], ["sid", "text"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", CHUNK_BYTES):
                 sets = _Sets(piece.column("text"), ngram)
                 yield pa.RecordBatch.from_arrays([pa.array(sets.ids), pa.array([s.tobytes() for s in sets.sets], pa.binary())], ["sid", "shingles"])
 

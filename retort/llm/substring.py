@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.text import Words, pieces, release, saved, signed
+from retort.llm.text import CHUNK_BYTES, Words, pieces, release, saved, signed
 
 SIZE = 35
 
@@ -39,7 +39,7 @@ def _class_ids(words: Words) -> np.ndarray:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Class, number of words, and the digest of all words, of each row."""
     for batch in batches:
-        for piece in pieces(batch, "text"):
+        for piece in pieces(batch, "text", CHUNK_BYTES):
             words = Words(piece.column("text"))
             digests = []
             for text in piece.column("text").to_pylist():
@@ -99,7 +99,7 @@ def _anchor_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", CHUNK_BYTES):
                 words = Words(piece.column("text"))
                 first = _first_of_class(piece, words, seen)
                 anchor, low, high = _anchors(words, size, quarter)
@@ -133,7 +133,7 @@ def _window_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", CHUNK_BYTES):
                 words = Words(piece.column("text"))
                 first = _first_of_class(piece, words, seen)
                 spans = piece.column("spans").to_pylist()
@@ -231,7 +231,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", CHUNK_BYTES):
                 words = Words(piece.column("text"))
                 first = pa.array(_first_of_class(piece, words, seen))
                 rows = pa.RecordBatch.from_arrays(

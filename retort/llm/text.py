@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text worked on at once (a longer single text is one piece): few enough that the work arrays stay in a core's cache.
 CHUNK_BYTES = 1 << 17
+#: The same where words are not hashed.
+PIECE_BYTES = 1 << 18
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -152,7 +154,7 @@ def _two_lanes(hashes: np.ndarray) -> list[np.ndarray]:
     return [hashes & _PRIME, (hashes >> _BITS) & _PRIME]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of at most ``limit`` text bytes, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, held = 0, 0
