@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retort.llm import importance, pii, whitening
-from retort.llm.queries import op12_personal_data, op13_spectrum_whitening
+from retort.llm.queries import op7_secret_links, op12_personal_data, op13_spectrum_whitening
 from tests.llm.test_llm_operators import ODD, SMALL, documents, empty, odd, rows_of
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -285,3 +285,23 @@ def test_deviations_beyond_64_bits():
     assert whitening.deviations(x, 2, sums) == [25 + 36, 25 + 36]
     assert whitening.deviations(np.array([[0]], np.int64), 1, [1 << 40]) == [None]
     assert pa.array(whitening.deviations(np.zeros((0, 2), np.int64), 1, [0, 0]), pa.int64()).to_pylist() == []
+
+
+def test_secret_query_against_brute_force(spark):
+    """Base columns of every document."""
+    patterns = {
+        "assign": (re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[2]) >= 6),
+        "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        "hex": (re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    }
+    data = "/root/testdata/sf0.01"
+    found = {r["doc_id"]: r for r in op7_secret_links(spark, data).collect()}
+    total = 0
+    for row in spark.read.parquet(f"{data}/documents.parquet").collect():
+        base = [(k, *m.span()) for k, (p, fine) in patterns.items() for m in p.finditer(row["text"] or "") if fine(m)]
+        listed = [f"{k}:{s}:{e}" for k, s, e in sorted(base, key=lambda b: (b[1], list(patterns).index(b[0])))]
+        mine, total = found.pop(row["doc_id"]), total + len(base)
+        assert [mine[f"n_{k}"] for k in patterns] == [sum(b[0] == k for b in base) for k in patterns]
+        assert mine["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set((mine["spans"] or "").split(",")) or not listed
+    assert not found and total > 0
