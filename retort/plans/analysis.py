@@ -11,6 +11,7 @@ from retort.functions.think import think_content, think_flags
 from retort.operators.joins import matched
 from retort.operators.records import explode_generations, keep_computed
 from retort.operators.statistics import length_statistics, moments, percent
+from retort.operators.stored import stored
 
 FLAGS = ("has_close", "one_close", "has_open", "one_open", "valid_pair")
 
@@ -164,7 +165,7 @@ def paradox_examples(first: DataFrame, second: DataFrame, ordinal: str, n: int =
     """Samples the second model finds likelier though their mean rank is over twice as bad.
 
     The ``n`` largest rank ratios, for a report. They are found on the means alone; texts and
-    token arrays are fetched for those samples only.
+    token arrays are fetched for those samples only, of both models by a broadcast of the ``n`` rows.
     """
     slim = ["sample_id", ordinal, "avg_prob", "avg_rank"]
     pairs = matched(first.select(*slim), second.select(*slim), "sample_id", ordinal)
@@ -176,9 +177,12 @@ def paradox_examples(first: DataFrame, second: DataFrame, ordinal: str, n: int =
     odd = (F.col("prob_diff") > 0) & (F.col("rank_ratio") > 2)
     top = keep_computed(scored, odd).orderBy(F.desc("rank_ratio"), ordinal).limit(n)
     top = top.select("sample_id", ordinal, f"{ordinal}_2", "rank_ratio", "prob_diff")
+    top = stored(top, "paradox")  # found once for both
     theirs = second.select("sample_id", *[F.col(c).alias(f"{c}_2") for c in second.columns if c != "sample_id"])
-    wide = first.join(F.broadcast(top), ["sample_id", ordinal])
-    return wide.join(theirs, ["sample_id", f"{ordinal}_2"]).orderBy(F.desc("rank_ratio"), ordinal)
+    theirs = theirs.join(F.broadcast(top), ["sample_id", f"{ordinal}_2"])
+    wide = first.join(F.broadcast(top.select("sample_id", ordinal)), ["sample_id", ordinal])
+    # at most n rows on each side are left
+    return wide.join(F.broadcast(theirs), ["sample_id", ordinal]).orderBy(F.desc("rank_ratio"), ordinal)
 
 
 def high_rank_tokens(strs: Column, ranks: Column, probs: Column, above: int = 50, n: int = 8) -> Column:

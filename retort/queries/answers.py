@@ -298,13 +298,6 @@ def _captions(spark, sf_dir) -> DataFrame:
     )
 
 
-@query()
-def caption_exact_meteor(spark, sf_dir):
-    """Exact-stage METEOR against whole texts; no SQL, checked by hand-made cases in the tests."""
-    done = answers.answer_captions(_captions(spark, sf_dir), scoring.meteor_scores(), 0.4)
-    return _rounded(answers.caption_report(done, ["task"]))
-
-
 _CAPTION_SQL = views.TRANSLATION_SQL + (
     ", c0 AS (SELECT *, CASE WHEN doc_id % 4 = 3 THEN 'retrosynthesis' ELSE 'molecule_captioning' END AS task, "
     f"nullif({duck.strip(chr(114) + 'egexp_extract(gtext, ' + duck.lit('(?is)</think>(.*)$') + ', 1)')}, '') AS caption FROM g), "
@@ -312,6 +305,36 @@ _CAPTION_SQL = views.TRANSLATION_SQL + (
 )
 
 
+_CAPTION_REPORT = (
+    "SELECT task, count(DISTINCT sample_id)::bigint AS total_lines, count(DISTINCT CASE WHEN task = 'molecule_captioning' THEN sample_id END)::bigint AS task_lines, "
+    "count_if(task = 'molecule_captioning')::bigint AS generations, count_if(task = 'molecule_captioning' AND cs IS NOT NULL)::bigint AS scored, "
+    "count_if(task = 'molecule_captioning' AND cs >= {0})::bigint AS meeting, "
+    "round(coalesce(100.0 * count_if(task = 'molecule_captioning' AND cs >= {0}) / nullif(count_if(task = 'molecule_captioning'), 0), 0), 6) AS accuracy, "
+    "round(coalesce(avg(cs) FILTER (task = 'molecule_captioning'), 0), 6) AS avg_score, "
+    "round(coalesce(max(cs) FILTER (task = 'molecule_captioning'), 0.0), 6) AS max_score, round(coalesce(min(cs) FILTER (task = 'molecule_captioning'), 0.0), 6) AS min_score FROM {1} GROUP BY task"
+)
+_TOKENS = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'"
+# the k-th occurrence of a token from the end meets the k-th from the end of the other side
+_METEOR_SQL = _CAPTION_SQL + (
+    f", ht AS (SELECT doc_id, gen, regexp_extract_all(lower(caption), {_TOKENS}) AS ts FROM c0 WHERE caption IS NOT NULL), "
+    f"rt AS (SELECT doc_id, any_value(regexp_extract_all(lower(answer), {_TOKENS})) AS ts FROM c0 GROUP BY doc_id), "
+    "hw AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gen, t ORDER BY i DESC) AS k FROM (SELECT doc_id, gen, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM ht)), "
+    "rw AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY j DESC) AS k FROM (SELECT doc_id, unnest(ts) AS t, unnest(range(len(ts))) AS j FROM rt)), "
+    "mp AS (SELECT doc_id, gen, i - lag(i) OVER w AS di, j - lag(j) OVER w AS dj FROM hw JOIN rw USING (doc_id, t, k) WINDOW w AS (PARTITION BY doc_id, gen ORDER BY i)), "
+    "mc AS (SELECT doc_id, gen, count(*)::double AS m, count_if(di IS NULL OR di <> 1 OR dj <> 1) AS chunks FROM mp GROUP BY doc_id, gen), "
+    "ms AS (SELECT doc_id, gen, (1 - 0.5::double * pow(chunks / m, 3)) * (m / len(ht.ts)) * (m / len(rt.ts)) / (0.9::double * (m / len(ht.ts)) + 0.1::double * (m / len(rt.ts))) AS score "
+    "FROM mc JOIN ht USING (doc_id, gen) JOIN rt USING (doc_id)), "
+    "me AS (SELECT c0.*, CASE WHEN caption IS NOT NULL THEN coalesce(ms.score, 0) END AS cs FROM c0 LEFT JOIN ms USING (doc_id, gen)) "
+)
+
+
+@query(_METEOR_SQL + _CAPTION_REPORT.format("0.4", "me"))
+def caption_exact_meteor(spark, sf_dir):
+    """Exact-stage METEOR of captions against whole texts."""
+    done = answers.answer_captions(_captions(spark, sf_dir), scoring.meteor_scores(), 0.4)
+    return _rounded(answers.caption_report(done, ["task"]))
+
+
 def _length_score(texts: Column, truth: Column) -> Column:
     return F.transform(texts, lambda t: (F.length(t) % 101).cast("double") / F.lit(100.0))
 

@@ -236,3 +236,84 @@ def merge_plan(spark, sf_dir):
     counts = rows.groupBy(F.regexp_replace("file_path", "/[^/]*$", "").alias("folder")).agg(F.count(F.lit(1)).alias("n"))
     lang = F.regexp_extract("folder", "lang=([a-z]+)$", 1)
     return counts.join(outputs, "folder").select(lang.alias("lang"), "n", "output")  # a row per folder
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS position, md5(text) AS text_md5 FROM documents")
+def sorted_results(spark, sf_dir):
+    """Results written in request order; the order of the files' lines is that order."""
+    path = _fresh(spark, "sorted")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_idx"), "text")
+    sinks.write_sorted(docs.repartition(16, "text"), path)
+    rows = splits.read_splits(spark, catalogue.catalogue(spark, path, ("*.txt",)))
+    placed = with_ordinals(rows.select("file_no", "ordinal", "value"), [F.col("file_no").asc(), F.col("ordinal").asc()], "position")
+    record = F.parse_json("value")
+    at = lambda name, kind: F.variant_get(record, f"$.{name}", kind)
+    return placed.select(at("sample_idx", "bigint").alias("doc_id"), "position", F.md5(at("text", "string")).alias("text_md5"))
+
+
+@query(
+    "SELECT doc_id, doc_id % 7 <> 3 AS good, CASE WHEN doc_id % 7 <> 3 THEN md5(text) END AS text_md5 FROM documents"
+)
+def lenient_records(spark, sf_dir):
+    """Lines of which every seventh is broken, read leniently: good records beside the bad lines."""
+    path = _fresh(spark, "lenient")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    line = sinks.json_line(docs)
+    sinks.write_lines(docs.select(F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("{"), line)).otherwise(line).alias("value")), path)
+    good, bad = files.read_jsonl_lenient(spark, path, "doc_id BIGINT, text STRING")
+    number = F.regexp_extract(files.CORRUPT, '"doc_id":([0-9]+)', 1).cast("bigint")
+    lost = bad.select(number.alias("doc_id"), F.lit(False).alias("good"), F.lit(None).cast("string").alias("text_md5"))
+    return good.select("doc_id", F.lit(True).alias("good"), F.md5("text").alias("text_md5")).unionByName(lost)
+
+
+@query("SELECT lang, n_chars::varchar AS score, count(*)::bigint AS n FROM documents GROUP BY lang, n_chars")
+def scores_from_csv(spark, sf_dir):
+    """Scores by position out of a CSV with a header of other names."""
+    path = _fresh(spark, "scores")
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("language"), F.col("n_chars").alias("value"), F.col("source").alias("note"))
+    docs.write.option("header", True).csv(path)
+    return files.read_scores(spark, path).groupBy("lang", "score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT lang AS task, round(avg(n_chars) / 100000, 6) AS avg_prob, round(avg(n_chars), 2) AS avg_rank, count(*)::int AS n_samples FROM documents GROUP BY lang"
+)
+def summary_round_trip(spark, sf_dir):
+    """Task means as the lines of a text report, read back by their labels."""
+    path = _fresh(spark, "summary")
+    means = table(spark, sf_dir, "documents").groupBy("lang").agg(F.avg("n_chars").alias("m"), F.count(F.lit(1)).alias("n"))
+    lines = F.array(
+        F.concat("lang", F.lit(":")),
+        F.format_string("  Avg Probability: %.6f", F.col("m") / 100000),
+        F.format_string("  Avg Rank: %.2f", F.col("m")),
+        F.concat(F.lit("  Samples: "), "n"),
+    )
+    rows = means.select("lang", F.posexplode(lines).alias("at", "value"))
+    sinks.write_lines(rows.coalesce(1).sortWithinPartitions("lang", "at"), path)  # four lines a language
+    return files.read_summary(spark, path)
+
+
+@query(
+    "WITH r AS (SELECT lang, count(*) AS n, avg(n_chars) AS m FROM documents GROUP BY lang) "
+    "SELECT 0 AS place, repeat('=', 70) || chr(10) || 'Lengths' || chr(10) || repeat('=', 70) AS value "
+    "UNION ALL SELECT row_number() OVER (ORDER BY lang), '  lang=' || lang || '  n=' || n || '  mean=' || printf('%.6f', m) FROM r "
+    "UNION ALL SELECT (SELECT count(*) FROM r) + 1, repeat('=', 70)"
+)
+def length_report_lines(spark, sf_dir):
+    """A statistics frame as the lines of a report, in order."""
+    means = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean"))
+    lines = sinks.report_lines(means, "Lengths", ["lang"])
+    return lines.select((F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).alias("place"), "value")  # a line per language
+
+
+@query("SELECT DISTINCT 'lang=' || lang AS folder, count(*)::bigint AS n FROM documents GROUP BY lang")
+def folders_to_merge(spark, sf_dir):
+    """The nearest folders below a root that hold files, and the records of each."""
+    path = _fresh(spark, "folders")
+    docs = table(spark, sf_dir, "documents").select("lang", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    docs.write.partitionBy("lang").text(f"{path}/deep")
+    docs.withColumn("inner", F.lit("x")).write.mode("append").partitionBy("lang", "inner").text(f"{path}/deep")  # below the nearest
+    chosen = catalogue.catalogue(spark, path, ("*.txt",), nearest=True)
+    rows = splits.read_splits(spark, chosen)
+    folder = F.regexp_extract("file_path", "/([^/]*)/[^/]*$", 1)
+    return rows.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n"))
