@@ -307,13 +307,15 @@ def _pairs_apart(live: DataFrame, light: int, percent: int) -> DataFrame:
 def set_components(docs: DataFrame, order: _Order, light: int, ngram: int, percent: int) -> DataFrame:
     """(sid, root) of the classes of sets that link with another class."""
     spark: SparkSession = docs.sparkSession
-    entries = saved(_entries(docs, order, light, ngram, percent), "join-entries")
+    # most keys occur once; the entries are made again for the join, so that those are never written.
+    # How scans are split decides only how often an entry is repeated
+    entries = _entries(docs, order, light, ngram, percent)
     lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     # aggregates are written before they are joined, so that the join can be split at a hot key
     lists = saved(lists, "join-lists")
     live = entries.join(lists, "key", "left_semi").distinct().withColumn("root", F.col("sid"))
     live = saved(live, "join-live")
-    release(entries, lists)
+    release(lists)
     links, written = spark.createDataFrame([], "a long, b long"), []
 
     for turn in range(LEAD_ROUNDS + 1):
