@@ -187,7 +187,8 @@ class _Encoder:
 
     The library's pattern takes white space by itself or as one leading space, so where all white
     space is single, a text falls into independent words before each space and each line feed. A
-    word is known by its characters without that space. Other texts are encoded whole.
+    word is known by its characters without that space. Other texts are encoded whole, as are those
+    that hold an added token of the tokenizer, and all texts where it normalises or splits otherwise.
     """
 
     def __init__(self, path: str):
@@ -195,7 +196,10 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        parts = json.loads(self.tokenizer.to_str())
+        splits = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.words_apart = not parts["normalizer"] and splits.items() <= (parts["pre_tokenizer"] or {}).items()
+        self.added = [token["content"] for token in parts["added_tokens"]]
         self.line_feed = self._ids(["\n"])[0]
         self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?")), strict=True))
         self.words: dict[str, bytes] = {}
@@ -205,6 +209,9 @@ class _Encoder:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(m.ids, "<u4").tobytes() for m in made]
 
+    def _only_whole(self, text: str) -> bool:
+        return not self.words_apart or any(token in text for token in self.added)
+
     def _learn(self, words: list[str]) -> None:
         """Words of one run of text each: encoded 500 at a time, a line feed between them."""
         # letters and one mark: the pattern takes the two apart
@@ -235,7 +242,9 @@ class _Encoder:
             self.earlier, self.words = self.words, {}
         words, earlier, end = self.words, self.earlier, struct.pack("<I", end_id)
         # as if a space came first; the true first word is put in its place below
-        split = [split_words(text) if text else [] for text in texts]
+        whole = [i for i, text in enumerate(texts) if text and self._only_whole(text)]
+        others = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
+        split = [split_words(text) if text and i not in others else [] for i, text in enumerate(texts)]
         new = []
         for word in set().union(*(s[1:] for s in split)).difference(words):
             found = earlier.get(word)
@@ -244,9 +253,10 @@ class _Encoder:
             else:
                 words[word] = found
         bad = {w for w in new if NOT_ONE_WORD.search(w)}
-        self._learn([w for w in new if w not in bad] if bad else new)
+        if new:
+            self._learn([w for w in new if w not in bad] if bad else new)
         whole = [i for i, s in enumerate(split) if s and (NOT_ONE_WORD.search(s[0]) or bad and not bad.isdisjoint(s))]
-        others = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
+        others |= zip(whole, self._ids([texts[i] for i in whole]), strict=True)
         firsts = iter(self._ids([s[0] for i, s in enumerate(split) if s and i not in others]))
         encoded = []
         for i, s in enumerate(split):
