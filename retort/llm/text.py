@@ -131,18 +131,35 @@ class Words:
         self.ends = np.flatnonzero(solid & ~after[1:]) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.bounds)
-        lanes = [codes[self.bytes] for codes in (_LOWER_LANES if lower else _LANES)]
+        self.hashes = np.empty(len(self.starts), _U)
+        # a run of words at a time, as hashing needs some hundred times their bytes
+        for i, j in self._runs():
+            a, b = self.starts[i], self.ends[j - 1]
+            lanes = [codes[self.bytes[a:b]] for codes in (_LOWER_LANES if lower else _LANES)]
+            self.hashes[i:j] = _span_hash(lanes, self.starts[i:j] - a, self.ends[i:j] - a, _BYTE_STEPS)
         # the length goes in as well, as no value of a byte is barred from being 0 modulo the prime
-        self.hashes = mix(_span_hash(lanes, self.starts, self.ends, _BYTE_STEPS) + (self.ends - self.starts).astype(_U), 0x243F6A8885A308D3)
+        self.hashes = mix(self.hashes + (self.ends - self.starts).astype(_U), 0x243F6A8885A308D3)
+
+    def _runs(self) -> Iterator[tuple[int, int]]:
+        """Words in runs over at most CHUNK_BYTES, one word at least."""
+        i = 0
+        while i < len(self.starts):
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + CHUNK_BYTES, "right")))
+            yield i, j
+            i = j
 
     def windows(self, size: int, which: int = 0) -> np.ndarray:
         """Hash of the ``size`` words from each word on; the caller leaves out those over a text's end."""
         n = len(self.hashes)
         if n < size:
             return np.zeros(0, _U)
-        starts = np.arange(n - size + 1)
-        values = self.hashes if which == 0 else mix(self.hashes, 0x452821E638D01377)
-        return mix(_span_hash(_two_lanes(values), starts, starts + size, _WORD_STEPS[which]), size)
+        found = np.empty(n - size + 1, _U)
+        for i in range(0, len(found), CHUNK_BYTES):
+            starts = np.arange(min(CHUNK_BYTES, len(found) - i))
+            values = self.hashes[i : i + len(starts) + size - 1]
+            values = values if which == 0 else mix(values, 0x452821E638D01377)
+            found[i : i + len(starts)] = _span_hash(_two_lanes(values), starts, starts + size, _WORD_STEPS[which])
+        return mix(found, size)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of the words from ``starts`` up to ``ends``."""

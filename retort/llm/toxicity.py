@@ -16,13 +16,14 @@ tasks with the weights broadcast (their size is fixed by the settings below).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retort.llm.text import Words, mix, pieces
+from retort.llm.text import Words, mix, pieces, release, saved
 
 WINDOW, STRIDE = 32, 16
 WORD_CELLS, GRAM_CELLS = 1 << 18, 1 << 17
@@ -35,10 +36,15 @@ PART, OVERLAP = 16, max(GRAMS) - 1
 #: N-grams whose vectors are looked up at once.
 LOOKED_UP = 1 << 18
 
-#: Labelled rows of each label that training may take, in an order by hash.
+#: Labelled rows of each label that training may take, in an order by hash; bytes of one of their
+#: texts, and of those of a label together, as they come to the driver.
 MAX_PER_LABEL = 2500
-#: Rounds of choosing the windows that stand for the texts, and passes over those in each.
-ROUNDS, PASSES = 3, 5
+MAX_TEXT_BYTES, MAX_BYTES_PER_LABEL = 1 << 20, 1 << 27
+#: Rounds of choosing the windows that stand for the texts, and optimiser steps on those in each,
+#: with about so many texts in a step; the same for every number of texts.
+ROUNDS, STEPS, STEP_TEXTS = 3, 320, 64
+#: Windows that go through the network at once, which bounds the memory of a long text's states.
+BLOCK_WINDOWS = 1 << 12
 #: Texts that a cell must be seen in to have a vector of its own, and the weight of the base rate
 #: in its log odds, in texts: what few texts have says little.
 LEAST_TEXTS, BASE_TEXTS = 3, 10.0
@@ -231,17 +237,29 @@ def backward(w: dict, x, vectors: np.ndarray, windows: np.ndarray, mask: np.ndar
     return found
 
 
+def window_logits(w: dict, x: _Input) -> np.ndarray:
+    """Logit of each window, a block of them at a time."""
+    vectors, blocks = inputs(w, x), range(0, len(x.owner), BLOCK_WINDOWS)
+    return np.concatenate([forward(w, vectors, x.windows[a : a + BLOCK_WINDOWS], x.mask[a : a + BLOCK_WINDOWS]) for a in blocks])
+
+
 def logits(w: dict, x: _Input) -> np.ndarray:
     """Logit of each text: that of its worst window; of a text without words, the bias."""
     found = np.full(x.n, w["bias"][0], np.float32)
     if len(x.owner):
-        own = forward(w, inputs(w, x), x.windows, x.mask)
+        own = window_logits(w, x)
         first = np.flatnonzero(np.append(True, x.owner[1:] != x.owner[:-1]))
         found[x.owner[first]] = np.maximum.reduceat(own, first)
     return found
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, passes: int = PASSES, seed: int = SEED) -> dict | None:
+def _minibatches(rng: np.random.Generator, n: int, count: int) -> Iterator[np.ndarray]:
+    """``count`` draws of about STEP_TEXTS of n rows; each row comes once before any comes again."""
+    passes = iter(lambda: np.array_split(rng.permutation(n), max(1, n // STEP_TEXTS)), None)
+    return islice(chain.from_iterable(passes), count)
+
+
+def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, steps: int = STEPS, seed: int = SEED) -> dict | None:
     """Weights fitted to the texts; None without texts of both labels."""
     labels = np.asarray(labels, np.float32)
     if len(set(labels.tolist())) < 2:
@@ -266,18 +284,17 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, passes: in
         usable[name] = texts_seen >= LEAST_TEXTS
         w[name][:, 0] = np.where(usable[name], np.log(share / (1 - share)), 0)
     weight = np.where(labels == 1, 0.5 / sizes[1], 0.5 / sizes[0]) * len(labels)
-    steps, first, second = 0, {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-    passes = max(passes, min(40, 20_000 // len(texts)))
+    done, first, second = 0, {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     for turn in range(rounds):
         parts, owners = [], []
         for b in batches:
             x = load(b)
             if not len(x.owner):
                 continue
-            vectors = inputs(w, x)
             if turn:
-                score = forward(w, vectors, x.windows, x.mask)
+                score = window_logits(w, x)
             else:  # the untrained network can't tell; the word of the highest log odds can
+                vectors = inputs(w, x)
                 odds = vectors[:, 0] + vectors[:, WORD_DIM]
                 score = np.where(x.mask, odds[x.windows], -np.inf).max(1)
             order = np.lexsort((-score, x.owner))
@@ -287,20 +304,19 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, passes: in
         if not parts:
             return None
         x = _Chosen(parts, np.concatenate(owners))
-        for _ in range(passes):
-            for rows in np.array_split(rng.permutation(len(x.owner)), max(1, len(x.owner) // 64)):
-                part = _Chosen([_subset(x, rows)], x.owner[rows])
-                vectors, keep = inputs(w, part), {}
-                score = forward(w, vectors, part.windows, part.mask, keep)
-                d_logit = ((_sigmoid(score) - labels[part.owner]) * weight[part.owner] / len(rows)).astype(np.float32)
-                steps += 1
-                for name, (at, g) in backward(w, part, vectors, part.windows, part.mask, keep, d_logit).items():
-                    if name in usable:
-                        at, g = at[usable[name][at]], g[usable[name][at]]
-                    first[name][at] += 0.1 * (g - first[name][at])
-                    second[name][at] += 0.01 * (g**2 - second[name][at])
-                    size = first[name][at] / (1 - 0.9**steps) / (np.sqrt(second[name][at] / (1 - 0.99**steps)) + 1e-6)
-                    w[name][at] -= (0.005 * size).astype(np.float32)
+        for rows in _minibatches(rng, len(x.owner), steps):
+            part = _Chosen([_subset(x, rows)], x.owner[rows])
+            vectors, keep = inputs(w, part), {}
+            score = forward(w, vectors, part.windows, part.mask, keep)
+            d_logit = ((_sigmoid(score) - labels[part.owner]) * weight[part.owner] / len(rows)).astype(np.float32)
+            done += 1
+            for name, (at, g) in backward(w, part, vectors, part.windows, part.mask, keep, d_logit).items():
+                if name in usable:
+                    at, g = at[usable[name][at]], g[usable[name][at]]
+                first[name][at] += 0.1 * (g - first[name][at])
+                second[name][at] += 0.01 * (g**2 - second[name][at])
+                size = first[name][at] / (1 - 0.9**done) / (np.sqrt(second[name][at] / (1 - 0.99**done)) + 1e-6)
+                w[name][at] -= (0.005 * size).astype(np.float32)
     # the limit is put where the training texts part best; where they part whole, nearer to the clean ones, as texts not seen score less apart
     final, own = [], []
     for b in batches:
@@ -320,14 +336,23 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, passes: in
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, usable, max_per_label: int = MAX_PER_LABEL) -> dict | None:
     """Weights from at most ``max_per_label`` documents of each label, of the labelled rows that
-    ``usable`` (a function of the identifier column) allows; the same for the same rows."""
+    ``usable`` (a function of the identifier column) allows; the same for the same rows.
+
+    Texts over MAX_TEXT_BYTES aren't learned from, and no more than MAX_BYTES_PER_LABEL of a label.
+    """
     rows = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("label"))
     rows = rows.filter(F.col("label").isin(0, 1) & usable(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     picked = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(max_per_label) for k in (0, 1)]
     picked = picked[0].union(picked[1])
     sample = docs.select(F.col("doc_id").alias("id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "id")
-    sample = sample.groupBy("id", "label").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id").toPandas()
-    return train(sample["text"].tolist(), sample["label"].to_numpy())
+    size = F.octet_length("text")
+    sample = saved(sample.filter(size <= MAX_TEXT_BYTES).groupBy("id", "label").agg(F.min("text").alias("text")), "toxicity-sample")
+    # identifiers and sizes of the sampled rows only
+    so_far = F.sum("bytes").over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    fitting = sample.select("id", "label", size.alias("bytes")).withColumn("so_far", so_far).filter(F.col("so_far") <= MAX_BYTES_PER_LABEL)
+    rows = sample.join(F.broadcast(fitting.select("id")), "id", "left_semi").orderBy(F.xxhash64("id"), "id").toPandas()
+    release(sample)
+    return train(rows["text"].tolist(), rows["label"].to_numpy())
 
 
 def _scores(w: dict, texts: pa.Array) -> np.ndarray:
