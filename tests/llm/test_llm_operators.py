@@ -751,3 +751,32 @@ def test_pipeline_frees_what_a_stage_wrote(spark):
     assert written and all(Path(p.removeprefix("file:")).exists() for p in written[:1])
     corpus_pipeline.mix_sources(spark, docs, SMALL)
     assert not any(Path(p.removeprefix("file:")).exists() for p in written)
+
+
+def test_new_words_are_encoded_together_and_leave_no_states(reference_encoding):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("aehilnorstuéßñк") for _ in range(draw.randint(1, 12))) + draw.choice(["", "", ",", "$$$", "7"]) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 3000, 100)] + [None, "", "one  two", "x" * 100 + " " + "y" * 200 + ",", "\nа б"]
+    small = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    ids, at = small.encode_texts(pa.array(texts))
+    want = [reference_encoding.encode_ordinary(t or "") for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+    assert small.decode_texts(ids, at) == [(t or "").encode() for t in texts]
+    shown, ends = small.decimal(ids)
+    assert shown.decode().split() == [str(i) for ids in want for i in ids] and ends[-1] == len(shown)
+    # states are of first words and of texts that aren't cut, not of the 3,000 words
+    assert len(small.transducer.states) < 600
+    cut, at = small.transducer.encode_words([f" {w}".encode() for w in words])
+    assert [cut[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [small.transducer.encode(f" {w}".encode()) for w in words]
+
+
+def test_words_met_most_are_kept(codec):
+    words = bpe.Words()
+    places = [words.add(w, [k, k + 1]) for k, w in enumerate("abcd")]
+    words.meet(np.array(places))
+    words.meet(np.array(places[1:3]))
+    words.meet(np.array(places[2:]))
+    kept = words.most_met(2)
+    assert list(kept.places) == ["b", "c"]
+    assert [kept.of(p).tolist() for p in kept.places.values()] == [[1, 2], [2, 3]]
+    assert list(words.most_met(9).places) == ["b", "c", "d"]
