@@ -12,6 +12,7 @@ from retort.operators.ranking import top_k
 from retort.operators.records import best_key, chat, keep_computed
 from retort.operators.sampling import shuffled
 from retort.operators.statistics import score_summary
+from retort.operators.stored import stored
 
 _SCORES = "map<string,double>"
 
@@ -106,6 +107,12 @@ def share_report(df: DataFrame, kept: DataFrame, score: str = "best_spbleu") ->
     return whole.unionByName(top)
 
 
+def share_summary(df: DataFrame, ratio: float = 0.2, ordinal: str = "ordinal", score: str = "best_spbleu") -> DataFrame:
+    """``share_report`` of the top share of ``df``, whose scores and marks are derived once and written."""
+    scores = stored(df.select(ordinal, score, "think_tag_valid"), "share-scores")
+    return share_report(scores, top_share(scores, ratio, ordinal, score), score)
+
+
 def chats(df: DataFrame, system: str | None = None, seed: int = 42) -> DataFrame:
     """Shuffled chat records with the best generation as the answer."""
     answer = F.coalesce(F.try_element_at("generated", F.col("best_generation_key")), F.lit(""))

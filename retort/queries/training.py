@@ -404,8 +404,7 @@ _SUMMARY = "round(avg(best_spbleu), 6) AS avg, (list(best_spbleu ORDER BY best_s
 
 @query(_CHECKED + f"SELECT 'valid' AS part, {_SUMMARY} FROM b WHERE think_tag_valid UNION ALL SELECT 'kept', {_SUMMARY} FROM top")
 def translation_share_report(spark, sf_dir):
-    done = _checked(spark, sf_dir)
-    return _rounded(translation.share_report(done, translation.top_share(done, 0.2, "doc_id")))
+    return _rounded(translation.share_summary(_checked(spark, sf_dir), 0.2, "doc_id"))
 
 
 @query(

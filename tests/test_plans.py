@@ -291,3 +291,18 @@ def test_files_of_a_language_have_many_writers(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r) for r in outcomes) == [("en", 320 - bad["en"], bad["en"], True), ("fr", 80 - bad["fr"], bad["fr"], True)]
     for name in ("report", "outcomes"):
         assert len(list((tmp_path / name / "lang=en").glob("part-*"))) > 1
+
+
+def test_share_summary_derives_scores_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def derived(x):
+        seen.add(1)
+        return float(x % 7)
+
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 3 != 0).alias("think_tag_valid"), derived("id").alias("best_spbleu"))
+    want = translation.share_report(rows, translation.top_share(rows, 0.2, "doc_id")).orderBy("part").collect()
+    seen.value = 0
+    assert translation.share_summary(rows, 0.2, "doc_id").orderBy("part").collect() == want
+    assert seen.value == 100
