@@ -138,9 +138,9 @@ def stream_resume(spark, sf_dir):
             requests.filter(arrived).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(requests.schema).parquet(inbox)
         resume.answer_stream(stream, answer, results, marks, schema).awaitTermination()
-    done = resume.stored_results(spark, results, schema)
+    done = resume.stored_results(spark, results, schema, F.md5("answers").alias("answers_md5"))
     stored_rows = spark.read.schema(schema).parquet(results).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_stored"))
-    return done.join(stored_rows, "sample_id").select("sample_id", F.md5("answers").alias("answers_md5"), "n_stored")
+    return done.join(stored_rows, "sample_id").select("sample_id", "answers_md5", "n_stored")
 
 
 @query(

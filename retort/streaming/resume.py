@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from retort.operators.joins import last_per_key, pending
+from retort.operators.joins import last_per_key
+from retort.operators.stored import fresh
 
 
 #: Folders that results are dealt to by a hash of their identifier.
@@ -23,9 +24,13 @@ def _results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch BIGINT, prefix INT").parquet(folder)
 
 
-def stored_results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Results of all finished batches, the latest per ``sample_id``."""
-    return last_per_key(_results(spark, folder, schema), ["sample_id"], "batch").drop("batch", "prefix")
+def stored_results(spark: SparkSession, folder: str, schema: str, *derived: Column) -> DataFrame:
+    """Results of all finished batches, the latest per ``sample_id``; with ``derived`` only the
+    identifier and these columns, derived before rows move."""
+    rows = _results(spark, folder, schema)
+    if derived:
+        rows = rows.select("sample_id", *derived, "batch", "prefix")
+    return last_per_key(rows, ["sample_id"], "batch").drop("batch", "prefix")
 
 
 def answered_before(batch: DataFrame, number: int, folder: str, schema: str) -> DataFrame:
@@ -50,15 +55,20 @@ def answer_stream(
     ``answer`` maps pending requests to results with ``sample_id`` (a model call belongs in
     its ``mapInPandas``). A batch writes its own ``batch=N`` folder, dealt to prefixes of the
     identifiers' hash, and overwrites just that when it is replayed, so a lost executor or driver
-    leaves neither gaps nor doubles. Requests answered by earlier batches are left out by an anti
-    join with the history of the batch's own prefixes.
+    leaves neither gaps nor doubles. Requests answered by earlier batches are left out by the
+    identifiers in the history of the batch's own prefixes.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        todo = batch.dropDuplicates(["sample_id"])
+        (row, done) = fresh(batch, "_row", "_done")
+        rows = batch.select("sample_id", F.struct(*batch.columns).alias(row), F.lit(False).alias(done))
         if number:
-            todo = pending(todo, answered_before(batch, number, folder, schema), "sample_id")
-        results = answer(todo).withColumn("prefix", _prefix()).repartition("prefix")
+            rows = rows.unionByName(answered_before(batch, number, folder, schema).dropna().withColumn(done, F.lit(True)), allowMissingColumns=True)
+        # requests move once: dealt by prefix, they are told apart and written where they are
+        rows = rows.withColumn("prefix", _prefix()).repartition("prefix").groupBy("prefix", "sample_id")
+        rows = rows.agg(F.max(done).alias(done), F.any_value(row).alias(row))
+        todo = rows.filter(~F.col(done)).select(f"{row}.*")
+        results = answer(todo).withColumn("prefix", _prefix())
         results.write.mode("overwrite").partitionBy("prefix").parquet(f"{folder}/batch={number}")
 
     return (

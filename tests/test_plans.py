@@ -306,3 +306,22 @@ def test_share_summary_derives_scores_once(spark):
     seen.value = 0
     assert translation.share_summary(rows, 0.2, "doc_id").orderBy("part").collect() == want
     assert seen.value == 100
+
+
+def test_requests_move_once(spark, tmp_path):
+    inbox, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    schema, plans = "sample_id STRING, a STRING", []
+
+    def answer(todo):
+        plans.append(todo._jdf.queryExecution().executedPlan().toString())
+        return todo.select("sample_id", F.upper("q").alias("a"))
+
+    for rows in ([("1", "x"), ("2", "y"), ("2", "y")], [("2", "again"), ("3", "z"), (None, "n")], [("3", "z")]):
+        spark.createDataFrame(rows, "sample_id string, q string").write.mode("append").json(inbox)
+        stream = spark.readStream.schema("sample_id string, q string").json(inbox)
+        resume.answer_stream(stream, answer, out, marks, schema).awaitTermination()
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 1, 1] and not any("Join" in p for p in plans)
+    stored = spark.read.schema(schema).parquet(out).select("sample_id", "a")
+    assert sorted((tuple(r) for r in stored.collect()), key=repr) == [("1", "X"), ("2", "Y"), ("3", "Z"), (None, "N")]
+    done = resume.stored_results(spark, out, schema, F.length("a").alias("n"))
+    assert done.columns == ["sample_id", "n"] and sorted(tuple(r) for r in done.collect()) == [("1", 1), ("2", 1), ("3", 1)]
