@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -192,14 +193,20 @@ def raw_line_union(spark, sf_dir):
     return named.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("n_chars"))
 
 
+#: Lines that are put into an array at once, as Arrow columns.
+_ARRAY_LINES = 256
+
+
 def _as_array(batches):
     """The lines of a partition as one JSON array."""
     yield pa.RecordBatch.from_pydict({"value": ["["]})
     first = True
     for batch in batches:
-        lines = batch.column(0).to_pylist()
-        yield pa.RecordBatch.from_pydict({"value": [("" if first and k == 0 else ",") + line for k, line in enumerate(lines)]})
-        first = first and not lines
+        for a in range(0, batch.num_rows, _ARRAY_LINES):
+            lines = batch.column(0).slice(a, _ARRAY_LINES)
+            marks = pa.array(["" if first and k == 0 else "," for k in range(len(lines))], lines.type)
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, lines, pa.scalar("", lines.type))], ["value"])
+            first = False
     yield pa.RecordBatch.from_pydict({"value": ["]"]})
 
 

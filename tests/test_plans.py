@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,3 +326,11 @@ def test_requests_move_once(spark, tmp_path):
     assert sorted((tuple(r) for r in stored.collect()), key=repr) == [("1", "X"), ("2", "Y"), ("3", "Z"), (None, "N")]
     done = resume.stored_results(spark, out, schema, F.length("a").alias("n"))
     assert done.columns == ["sample_id", "n"] and sorted(tuple(r) for r in done.collect()) == [("1", 1), ("2", 1), ("3", 1)]
+
+
+def test_array_lines_are_put_together_in_small_pieces():
+    lines = [json.dumps({"k": k, "text": "é" * 10}) for k in range(1000)]
+    batches = [pa.RecordBatch.from_pydict({"value": pa.array(part, pa.string())}) for part in ([], lines[:700], lines[700:])]
+    made = list(file_queries._as_array(iter(batches)))
+    assert json.loads("\n".join(v for b in made for v in b.column(0).to_pylist())) == [json.loads(line) for line in lines]
+    assert max(b.num_rows for b in made) <= 256
