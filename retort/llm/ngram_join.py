@@ -16,7 +16,10 @@ Equal sets are one class first. A list may be long (copies, common passages), so
 are made: in each of two rounds, classes are compared with the leads of their lists, one per list,
 and after that pairs of classes that are in different components by then are counted, exactly. In
 each list the classes outside its most frequent component are joined with all classes, so no pairs
-are made within that component. Every candidate is verified on the full sets.
+are made within that component. The first leads are the classes with the fewest rarer shingles: of
+near copies of one text the nearest to it, with which most of the others link. The join drops pairs
+whose parities of parts of the shingles differ in more places than linked sets differ in shingles;
+that is exact. Every candidate is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -34,8 +37,13 @@ NGRAM = 5
 PERCENT = 80
 
 #: Cells of the count sketch: fixed, as only the order of shingles and costs come from it.
-CELLS = 1 << 18
+CELLS = 1 << 20
+#: Cells of the sketch that are added up as one row.
+RUN_OF_CELLS = 1 << 12
+#: Longs of a set's marks: parities by which most sets that don't link are told apart unseen.
+MARKS = 8
 WANTED_CELLS = 1 << 20
+MARK_NAMES = [f"marks_{k}" for k in range(MARKS)]
 #: Rounds of leads before all pairs, the same at every size.
 LEAD_ROUNDS = 2
 
@@ -82,29 +90,49 @@ def _sketch(docs: DataFrame, ngram: int) -> np.ndarray:
     """Entries per cell, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(CELLS, np.int64), set()
+        counts, seen, held, size = np.zeros(CELLS, np.int64), set(), [], 0
         for batch in batches:
             for piece in pieces(batch, "text", CHUNK_BYTES):
                 sets = _Sets(piece.column("text"), ngram)
-                mine = [sets.sets[i] for i in sets.new(seen)]
-                if mine:
-                    counts += np.bincount(_cells(np.concatenate(mine)), minlength=CELLS)
-        filled = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(counts[filled])], ["cell", "n"])
+                for i in sets.new(seen):
+                    held.append(_cells(sets.sets[i]))
+                    size += len(held[-1])
+                if size >= CELLS // 2:
+                    counts += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=CELLS)
+        own = counts.reshape(-1, RUN_OF_CELLS)
+        filled = np.flatnonzero(own.any(axis=1))
+        yield _runs_of(filled, own[filled])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, data in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(data, np.int64)
+        yield _runs_of(np.array(list(sums)), list(sums.values()))
+
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = docs.select("text").mapInArrow(run, "at int, n binary").repartition(width, "at").mapInArrow(add_up, "at int, n binary")
+    counts = np.zeros((CELLS // RUN_OF_CELLS, RUN_OF_CELLS), np.int64)
+    for at, data in runs.collect():  # CELLS counts at most
+        counts[at] = np.frombuffer(data, np.int64)
+    return counts.reshape(-1)
 
-    cells = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    rows = cells.toPandas()  # CELLS rows at most
-    counts = np.zeros(CELLS, np.int64)
-    counts[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return counts
+
+def _runs_of(at: np.ndarray, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in counts], pa.binary())], ["at", "n"])
 
 
 class _Order:
     """Rarity classes of the cells and the lengths of lists expected of them."""
 
     def __init__(self, counts: np.ndarray):
-        mean = max(1.0, counts.mean())
-        self.level = np.floor(np.log2(np.maximum(counts / mean, 1.0))).astype(np.uint8)
+        # chance alone fills a cell to its mean and some roots of that
+        mean = max(1.0, float(np.median(counts)))
+        excess = (counts - mean) / (4 * np.sqrt(mean))
+        self.level = np.floor(np.log2(np.maximum(2 * excess, 1.0))).astype(np.uint8)
         self.length = np.where(self.level > 0, counts - mean, 1.0).astype(np.float32)
 
     def prefix(self, shingles: np.ndarray, size: int) -> np.ndarray:
@@ -113,7 +141,7 @@ class _Order:
 
 
 def _rows(docs: DataFrame, order: _Order, ngram: int, percent: int) -> DataFrame:
-    """(doc_id, n, sid, scan): size and class of each row, and the entries of its prefix's lists."""
+    """(doc_id, n, sid, scan, marks): size and class of each row, the entries of its prefix's lists, its marks."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -127,9 +155,32 @@ def _rows(docs: DataFrame, order: _Order, ngram: int, percent: int) -> DataFrame
                     size = len(s) - need(len(s), percent) + 1 if len(s) else 0
                     scans.append(size + float(own.length[_cells(own.prefix(s, size))].sum()))
                 columns = [piece.column("doc_id"), pa.array(sets.sizes), pa.array(sets.ids), pa.array(scans, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sid", "scan"])
+                columns += [pa.array(m) for m in np.ascontiguousarray(_marks(sets.sets).T)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sid", "scan", *MARK_NAMES])
+
+    return docs.mapInArrow(run, f"doc_id {id_type}, n long, sid long, scan double, {', '.join(f'{m} long' for m in MARK_NAMES)}")
+
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n long, sid long, scan double")
+def _marks(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set and each of 64 * MARKS parts of all shingles, whether it has an odd number of the part.
+
+    Two sets differ in one shingle at least for each part in which their parities differ.
+    """
+    parts = 64 * MARKS
+    which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shingles = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    counts = np.bincount(which * parts + (shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts * len(sets))
+    return np.packbits((counts & 1).astype(bool).reshape(len(sets), parts), axis=1).view(np.int64)
+
+
+def _marks_may_link(percent: int):
+    """Whether the marks leave it open that two sets link: those that do differ in few shingles.
+
+    100 * shared >= percent * union, with d shingles in one of the two only, is
+    (100 + percent) * d <= (100 - percent) * (n + n_b).
+    """
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_b"))) for m in MARK_NAMES), F.lit(0))
+    return differ * (100 + percent) <= (F.col("n") + F.col("n_b")).cast("long") * (100 - percent)
 
 
 def boundary(rows: DataFrame, percent: int) -> int:
@@ -293,19 +344,22 @@ def _pairs_apart(live: DataFrame, light: int, percent: int) -> DataFrame:
     """(a, b, c, n, n_b), a < b: pairs of classes of different roots and the keys by which they may link.
 
     ``most`` is the most frequent root of the key's list; of two different roots one isn't that.
+    Where ``live`` has marks, pairs that can't link by them are left out.
     """
-    rest = live.filter("root != most").select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "root")])
+    marks = [m for m in MARK_NAMES if m in live.columns]
+    rest = live.filter("root != most").select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "root", *marks)])
     # a pair of two classes of the rest comes twice
     once = (F.col("root") == F.col("most")) | (F.col("sid") < F.col("sid_b"))
-    pairs = live.join(rest, "key").filter((F.col("root") != F.col("root_b")) & once & _may_link(light, percent))
+    may = _may_link(light, percent) & _marks_may_link(percent) if marks else _may_link(light, percent)
+    pairs = live.join(rest, "key").filter((F.col("root") != F.col("root_b")) & once & may)
     ordered = F.col("sid") < F.col("sid_b")
     own, other = F.struct("sid", "n"), F.struct(F.col("sid_b").alias("sid"), F.col("n_b").alias("n"))
     pairs = pairs.select(F.when(ordered, own).otherwise(other).alias("x"), F.when(ordered, other).otherwise(own).alias("y"))
     return pairs.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("x.n").alias("n"), F.max("y.n").alias("n_b"))
 
 
-def set_components(docs: DataFrame, order: _Order, light: int, ngram: int, percent: int) -> DataFrame:
-    """(sid, root) of the classes of sets that link with another class."""
+def set_components(docs: DataFrame, rows: DataFrame, order: _Order, light: int, ngram: int, percent: int) -> DataFrame:
+    """(sid, root) of the classes of sets that link with another class; ``rows`` has their marks."""
     spark: SparkSession = docs.sparkSession
     entries = saved(_entries(docs, order, light, ngram, percent), "join-entries")
     lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
@@ -325,11 +379,16 @@ def set_components(docs: DataFrame, order: _Order, light: int, ngram: int, perce
         release(before, lists)
         last = turn == LEAD_ROUNDS
         if last:
+            marks = saved(rows.filter("n > 0").select("sid", *MARK_NAMES).dropDuplicates(["sid"]), "join-marks")
+            before, live = live, saved(live.join(marks, "sid"), "join-live")
+            release(before, marks)
             pairs = _pairs_apart(live, light, percent)
             pairs = pairs.filter(F.col("c") > _more(light, percent)).select("a", "b")
         else:
-            # the lead of a list: its first class by an order that changes from round to round
-            lead = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("root").alias("root_b")))
+            # the lead of a list: first the class with the fewest rarer shingles, as that is the one
+            # with the fewest of its own; then one by hash
+            rarer = F.col("place") if turn == 0 else F.lit(0)
+            lead = F.min(F.struct(rarer.alias("rarer"), F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("root").alias("root_b")))
             other = live.groupBy("key").agg(lead.alias("lead")).select("key", "lead.b", "lead.n_b", "lead.place_b", "lead.root_b")
             leads = other = saved(other, "join-leads")
             pairs = live.join(other, "key").filter((F.col("root") != F.col("root_b")) & _may_link(light, percent))
@@ -369,8 +428,8 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
         order = _Order(_sketch(docs, ngram))
         rows = saved(_rows(docs, order, ngram, percent), "join-rows")
         light = boundary(rows, percent)
-        roots = set_components(docs, order, light, ngram, percent)
-    rows = rows.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        roots = set_components(docs, rows, order, light, ngram, percent)
+    rows = rows.drop(*MARK_NAMES).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     least = saved(least, "join-least")  # before the join, which can then be split at a large component
     return rows.join(least, "root", "left").select(

@@ -780,3 +780,59 @@ def test_words_met_most_are_kept(codec):
     assert list(kept.places) == ["b", "c"]
     assert [kept.of(p).tolist() for p in kept.places.values()] == [[1, 2], [2, 3]]
     assert list(words.most_met(9).places) == ["b", "c", "d"]
+
+
+def group_of_copies(seed=5):
+    """Copies of one text with one to three words changed: those with three link with few others."""
+    draw = random.Random(seed)
+    base = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(150)]
+    rows = []
+    for changes in [1] * 20 + [3] * 100:
+        words = list(base)
+        for at in draw.sample(range(5, 145, 7), changes):
+            words[at] = f"x{draw.randrange(10**9)}"
+        rows.append((len(rows), " ".join(words), "s"))
+    return rows
+
+
+def test_ngram_join_compares_few_pairs_of_a_group_of_near_copies(spark, monkeypatch):
+    compared, links = [], ngram_join._links
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return links(pairs, *args)
+
+    monkeypatch.setattr(ngram_join, "_links", counted)
+    rows = group_of_copies()
+    found = rows_of(ngram_join.near_duplicates(odd(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert found == brute_join([r[:2] for r in rows])
+    assert sum(compared) <= 6 * len(rows)  # of 7140
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_marks_leave_every_link_open(spark, percent):
+    draw, sets = np.random.default_rng(6), []
+    for n in (1, 9, 60, 146, 900, 5000):
+        base = draw.integers(0, 2**63, n).astype(np.uint64)
+        for part in (0.0, 0.02, 0.05, 0.1, 0.2, 0.5):
+            own = base.copy()
+            own[: int(part * n)] = draw.integers(0, 2**63, int(part * n)).astype(np.uint64)
+            sets.append(np.unique(own))
+    marks = ngram_join._marks(sets).tolist()
+    names = [*ngram_join.MARK_NAMES, *[f"{m}_b" for m in ngram_join.MARK_NAMES]]
+    rows, want = [], []
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            shared = len(np.intersect1d(x, y))
+            rows.append((a, b, len(x), len(y), 100 * shared >= percent * (len(x) + len(y) - shared), *marks[a], *marks[b]))
+    frame = spark.createDataFrame(rows, "a int, b int, n int, n_b int, linked boolean, " + ", ".join(f"{m} long" for m in names))
+    found = frame.withColumn("open", ngram_join._marks_may_link(percent))
+    assert found.filter("linked and not open").count() == 0
+    assert found.filter("linked").count() > 10 and found.filter("not open").count() > len(rows) / 2
+
+
+def test_order_puts_passages_last_that_exceed_chance():
+    counts = np.random.default_rng(7).poisson(300, 1 << 14)
+    counts[:20] += 200  # passages of 200 texts
+    level = ngram_join._Order(counts).level
+    assert (level[:20] > 0).all() and (level[20:] > 0).mean() < 0.01
