@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -213,15 +214,19 @@ class _Encoder:
         return not self.words_apart or any(token in text for token in self.added)
 
     def _learn(self, words: list[str]) -> None:
-        """Words of one run of text each: encoded 500 at a time, a line feed between them."""
+        """Words of one run of text each: encoded 200 at a time, a line feed between them."""
         # letters and one mark: the pattern takes the two apart
-        marked = [w for w in words if w[-1] in self.marks and w[:-1].isalpha()]
+        marked, plain, rest = [], [], []
+        for w in words:
+            if w[-1] in self.marks and w[:-1].isalpha():
+                marked.append(w)
+            else:
+                (rest if w[0] == "\n" else plain).append(w)
         known, earlier = self.words, self.earlier
         stems = {w[:-1] for w in marked}.difference(known)
         known.update((w, earlier[w]) for w in stems if w in earlier)
-        plain = [w for w in words if w[0] != "\n" and not (w[-1] in self.marks and w[:-1].isalpha())]
         plain += stems.difference(known, plain)
-        lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        lines = [plain[i : i + 200] for i in range(0, len(plain), 200)]
         made = self.tokenizer.encode_batch_fast([" " + "\n ".join(line) for line in lines], add_special_tokens=False)
         gap = struct.unpack("<I", self.line_feed)[0]
         for line, encoding in zip(lines, made, strict=True):
@@ -231,7 +236,6 @@ class _Encoder:
             starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(data)]
             self.words.update(zip(line, [data[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
         known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
-        rest = [w for w in words if w[0] == "\n"]
         heads = [w[1:] for w in rest if len(w) > 1]
         ids = dict(zip(heads, self._ids(heads), strict=True))
         self.words.update((w, self.line_feed + ids.get(w[1:], b"")) for w in rest)
@@ -245,14 +249,17 @@ class _Encoder:
         whole = [i for i, text in enumerate(texts) if text and self._only_whole(text)]
         others = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
         split = [split_words(text) if text and i not in others else [] for i, text in enumerate(texts)]
+        # ids of the words after the first, and the places of those that are not known yet
+        parts = [list(map(words.get, s[1:], repeat(b""))) for s in split]
+        gaps = [[] if all(p) else [k for k, part in enumerate(p) if not part] for p in parts]
         new = []
-        for word in set().union(*(s[1:] for s in split)).difference(words):
+        for word in {s[k + 1] for s, gap in zip(split, gaps, strict=True) for k in gap}:
             found = earlier.get(word)
             if found is None:
                 new.append(word)
             else:
                 words[word] = found
-        bad = {w for w in new if NOT_ONE_WORD.search(w)}
+        bad = set() if _all_one_word(new) else {w for w in new if NOT_ONE_WORD.search(w)}
         if new:
             self._learn([w for w in new if w not in bad] if bad else new)
         whole = [i for i, s in enumerate(split) if s and (NOT_ONE_WORD.search(s[0]) or bad and not bad.isdisjoint(s))]
@@ -263,7 +270,9 @@ class _Encoder:
             if i in others:
                 encoded.append(others[i] + end)
             elif s:
-                encoded.append(b"".join([next(firsts), *map(words.__getitem__, s[1:]), end]))
+                for k in gaps[i]:
+                    parts[i][k] = words[s[k + 1]]
+                encoded.append(b"".join([next(firsts), *parts[i], end]))
             else:
                 encoded.append(end)
         for word in new:
@@ -272,6 +281,12 @@ class _Encoder:
         return encoded
 
 
+def _all_one_word(words: list[str]) -> bool:
+    """Whether ``NOT_ONE_WORD`` is found in none of the words, told for all of them at once."""
+    bare = [w[1:] if w[:1] == "\n" else w for w in words]
+    return " ".join(bare).split() == bare
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
